@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Vocabulary files come with the environment; their folder is looked up when a query runs.
 WORD_TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,24 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.lmscore import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"), vocabulary(PIECES))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.decontaminate import leaks
 
@@ -53,6 +72,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ppm_score,
+        op2_language_id,
+        op3_html_extraction,
         op4_benchmark_decontamination,
         op5_toxicity,
         op6_minhash_near_dedup,
