@@ -12,7 +12,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", stages.toxicity_filter),
+    ("line_dedup", stages.line_dedup),
     ("near_dedup", stages.near_dedup),
+    ("decontamination", stages.decontaminate),
     ("packing", stages.packing),
 ]
 

@@ -57,12 +57,24 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pointloom.llm.linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pointloom.llm.packing import pack
 
@@ -78,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_benchmark_decontamination,
         op5_toxicity,
         op6_minhash_near_dedup,
+        op7_secret_scan,
         op8_quality_rules,
+        op9_line_dedup,
         op10_best_fit_packing,
     )
 }

@@ -21,3 +21,27 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from pointloom.llm.packing import pack
 
     return pack(docs, vocabulary(WORD_TOKENIZER), capacity=2048)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it learns from the labels of sf_dir and the texts of docs."""
+    from pointloom.llm.toxicity import fit, with_score
+
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return with_score(docs, model, "_toxic_score").where(F.col("_toxic_score") < 0.5).drop("_toxic_score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of lines are taken out of texts; n_chars follows the text. Rows stay."""
+    from pointloom.llm.linededup import dedup_lines
+
+    out = dedup_lines(docs).drop("removed_lines")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a near copy of a benchmark item go."""
+    from pointloom.llm.decontaminate import leaks
+
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(found, docs["doc_id"] == found["leak_id"], "left_anti")
