@@ -20,14 +20,24 @@ def _words(line: Column) -> Column:
     return F.size(F.filter(F.split(spaces, " "), lambda w: w != "")).cast("int")
 
 
+def document_key() -> Column:
+    """A document's id, null as an id before all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, th, text) of the documents that have a text."""
+    return docs.where("text is not null and text <> ''").select(document_key().alias("key"), F.xxhash64("text").alias("th"), "text")
+
+
 def units(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Chunks of a document's lines, and pairs of adjacent lines: (doc_id, th, kind, start, stop, hash, words, lead), lines
+    """Chunks of a document's lines, and pairs of adjacent lines: (key, th, kind, start, stop, hash, words, lead), lines
     counted from 0, stop inclusive; lead is the words of the first line. th is a hash of the text, so that rows with one id and other texts are told apart.
 
     A chunk ends where a rolling hash over two line hashes says, so an insertion elsewhere doesn't move it; and before and
     after a line of passage_words. Of chunks, those of several lines and of passage_words are given; pairs have kind 1."""
-    lines = docs.where("text is not null and text <> ''").select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
-    sized = lines.select("doc_id", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("w"), (F.size("lines") - 1).alias("last"))
+    lines = keyed(docs).select("key", "th", F.split("text", "\n", -1).alias("lines"))
+    sized = lines.select("key", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("w"), (F.size("lines") - 1).alias("last"))
 
     def ends(i: Column) -> Column:
         h, w = F.col("h"), F.col("w")
@@ -43,47 +53,54 @@ def units(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     chunks = F.filter(chunks, lambda u: ((u["stop"] > u["start"]) & (u["words"] > 0)) | (u["words"] >= passage_words))
     pairs = F.when(F.col("last") > 0, F.transform(F.sequence(F.lit(0), F.col("last") - 1), lambda i: one(1, i, i + 1)))
     both = F.concat(chunks, F.coalesce(pairs, F.array().cast("array<struct<kind:int,start:int,stop:int,hash:bigint,words:int,lead:int>>")))
-    return cut.select("doc_id", "th", F.explode(both).alias("u")).select("doc_id", "th", "u.*")
+    return cut.select("key", "th", F.explode(both).alias("u")).select("key", "th", "u.*")
 
 
 def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """The units that are another occurrence of the bytes of an earlier one: (doc_id, th, kind, start, stop, words,
-    lead).
+    """The units that are another occurrence of the bytes of an earlier one: (key, th, kind, start, stop, words, lead).
 
-    Hashes only choose: texts of units whose hash occurs twice are compared as they are. The first occurrence, by id, text hash
-    and line, isn't among them. Counts and least occurrences are aggregated before they are shuffled, and joined to by joins
-    that adaptive execution can split, so a line that a third of all documents share is nobody's single task."""
+    Hashes only choose: the texts of units whose hash occurs twice are fetched and compared. If the least and the greatest text
+    of a hash are equal, all are; otherwise (hashes collide) its units are grouped by their texts. The first occurrence, by id,
+    text hash and line, isn't among the result. All sums and least values are aggregated before they are shuffled, and joined
+    to by joins that adaptive execution can split, so a line that a third of all documents share is nobody's single task."""
     made = staged(units(docs, passage_words), "units")
     twice = made.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    wanted = made.join(twice, "hash").groupBy("doc_id", "th").agg(F.collect_list(F.struct("hash", "kind", "start", "stop", "words", "lead")).alias("units"))
-    texts = docs.where("text is not null and text <> ''").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
-    got = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).withColumn("lines", F.split("text", "\n", -1))
-    spelled = got.select("doc_id", "th", "lines", F.explode("units").alias("u")).select(
-        "doc_id", "th", "u.*", F.array_join(F.slice("lines", F.col("u.start") + 1, F.col("u.stop") - F.col("u.start") + 1), "\n").alias("bytes")
+    wanted = made.join(twice, "hash").groupBy("key", "th").agg(F.collect_list(F.struct("hash", "kind", "start", "stop", "words", "lead")).alias("units"))
+    got = keyed(docs).join(wanted, ["key", "th"]).withColumn("lines", F.split("text", "\n", -1))
+    unit = F.col("u")
+    spelled = got.select("key", "th", "lines", F.explode("units").alias("u")).select(
+        "key", "th", "u.*", F.array_join(F.slice("lines", unit["start"] + 1, unit["stop"] - unit["start"] + 1), "\n").alias("bytes")
     )
-    spelled = staged(spelled, "spelled")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("doc_id"), "th", "start")
-    first = spelled.groupBy("hash", "bytes").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    return spelled.join(first, ["hash", "bytes"]).where(place != F.col("first")).select("doc_id", "th", "kind", "start", "stop", "words", "lead")
+    place = F.struct("key", "th", "start")
+    whole = spelled.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.count("*").alias("n"), F.min(place).alias("first"))
+    whole = staged(whole.select("hash", (F.col("lo") == F.col("hi")).alias("same"), "n", "first"), "compared")
+    occurs = made.join(whole.where("same and n > 1").select("hash", "first"), "hash").where(place != F.col("first"))
+    names = ["key", "th", "kind", "start", "stop", "words", "lead"]
+    mixed = whole.where("not same").select("hash")
+    if not mixed.isEmpty():
+        apart = spelled.join(mixed, "hash")
+        first = apart.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
+        occurs = occurs.select(*names).unionByName(apart.join(first, ["hash", "bytes"]).where(place != F.col("first")).select(*names))
+    return occurs.select(*names).distinct()
 
 
 def removals(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """Runs of lines to take out: (doc_id, th, runs array<struct<start,stop>>), one row for each text that has some.
+    """Runs of lines to take out: (key, th, runs array<struct<start,stop>>), one row for each text that has some.
 
     Repeated chunks go. Where a shared passage begins or ends within a chunk, its lines there aren't a chunk of their own; they
     are a run of repeated pairs of lines, which goes if it meets a chunk that goes, or has passage_words itself."""
     found = repeats(docs, passage_words)
-    by = Window.partitionBy("doc_id", "th", "kind").orderBy("start")
+    by = Window.partitionBy("key", "th", "kind").orderBy("start")
     # islands: pairs (i, i + 1), (i + 1, i + 2), ... in a row make one run; chunks stand alone
     isle = found.withColumn("isle", F.when(F.col("kind") == 1, F.col("start") - F.row_number().over(by)).otherwise(F.col("start")))
     # a run's words: the first lines of its pairs, and the second line of the last
     words = (F.sum("lead") + F.max_by(F.col("words") - F.col("lead"), "start")).alias("words")
-    runs = isle.groupBy("doc_id", "th", "kind", "isle").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), words)
+    runs = isle.groupBy("key", "th", "kind", "isle").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), words)
     run = F.struct("start", "stop", "words")
-    both = runs.groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("kind") == 0, run)).alias("chunks"), F.collect_list(F.when(F.col("kind") == 1, run)).alias("pairs"))
+    both = runs.groupBy("key", "th").agg(F.collect_list(F.when(F.col("kind") == 0, run)).alias("chunks"), F.collect_list(F.when(F.col("kind") == 1, run)).alias("pairs"))
     meets = lambda p: (p["words"] >= passage_words) | F.exists("chunks", lambda c: (c["start"] <= p["stop"]) & (p["start"] <= c["stop"]))
     gone = F.concat("chunks", F.filter("pairs", meets))
-    return both.select("doc_id", "th", F.transform(gone, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"))).alias("runs")).where(F.size("runs") > 0)
+    return both.select("key", "th", F.transform(gone, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"))).alias("runs")).where(F.size("runs") > 0)
 
 
 def dedup_lines(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
@@ -93,14 +110,15 @@ def dedup_lines(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFram
     later in the same) are removed but for the first occurrence, whole and byte for byte equal. Short lines that repeat alone
     stay. Null and empty texts stay as they are. A text all of which is repeated becomes empty; its row stays. Null ids are
     dealt with as one id that comes first. Rows with the same id and text are one document: all keep or lose the same lines.
-    An empty table gives an empty table."""
-    marks = removals(docs, passage_words).select(F.col("doc_id").alias("_mark_id"), F.col("th").alias("_mark_th"), F.col("runs").alias("_mark_runs"))
-    joined = docs.join(marks, docs["doc_id"].eqNullSafe(F.col("_mark_id")) & (F.xxhash64(docs["text"]) == F.col("_mark_th")), "left")
+    Columns may have any other names but _key, _th and _runs. An empty table gives an empty table."""
+    marks = removals(docs, passage_words).toDF("_key", "_th", "_runs")
+    own = docs.withColumns({"_key": document_key(), "_th": F.xxhash64("text")})
+    joined = own.join(marks, ["_key", "_th"], "left")
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.exists("_mark_runs", lambda r: (r["start"] <= i) & (i <= r["stop"])))
-    has = F.col("_mark_runs").isNotNull()
-    out = joined.withColumns({"_kept": F.when(has, kept), "removed_lines": F.lit(0).cast("long")})
+    kept = F.filter(lines, lambda line, i: ~F.exists("_runs", lambda r: (r["start"] <= i) & (i <= r["stop"])))
+    has = F.col("_runs").isNotNull()
+    out = joined.withColumn("_kept", F.when(has, kept))
     return out.select(
-        *(F.when(has, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns),
+        *(F.when(has, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
         F.when(has, (F.size(lines) - F.size("_kept")).cast("long")).otherwise(F.lit(0).cast("long")).alias("removed_lines"),
     )
