@@ -96,7 +96,13 @@ def sequential_workload(spark: SparkSession, n_frames: int, n: int, length: int,
 def metrics(random: DataFrame, sequential: DataFrame, segments: DataFrame, kb: DataFrame, fraction: DataFrame, construct_seconds: float) -> DataFrame:
     """One row: what a run of the benchmark reports, with a list entry per query (ordered by query_id). random has query_id,
     accuracy, io_cost, load_time; sequential has query_id, io_cost, load_time."""
-    listed = lambda df, *cols: df.agg(*(F.transform(F.array_sort(F.collect_list(F.struct("query_id", c))), lambda s, c=c: s[c]).alias(c) for c in cols))
+
+    def in_order(c: str):
+        return F.transform(F.array_sort(F.collect_list(F.struct("query_id", c))), lambda s: s[c]).alias(c)
+
+    def listed(df: DataFrame, *cols: str) -> DataFrame:
+        return df.agg(*map(in_order, cols))
+
     r = listed(random, "accuracy", "io_cost", "load_time").select(F.struct("*").alias("random"))
     s = listed(sequential, "io_cost", "load_time").select(F.struct("*").alias("sequential"))
     lengths = segments.groupBy((F.col("end_frame") - F.col("start_frame")).alias("length")).agg(F.count("*").alias("n"))
