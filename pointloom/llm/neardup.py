@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import WordIds, as_bytes, batches, mix64, packed, shingle_set, staged
@@ -16,10 +16,12 @@ from pointloom.llm.components import components
 #: group of either collection: at 0.8 it is missed with probability 2 * (1 - 0.8**3)**12 = 0.0004; 72 hashes make 144 tables
 #: of six hashes each, where plain banding takes 864.
 GROUP, GROUPS = 3, 12
-#: Bits of the one-bit sketch by which pairs across components are chosen, and how many may differ: at 0.8, 12.8 of 128 do.
-SKETCH_DIFFER = 27
+#: Of a pair's 72 minima so many must agree in their low 8 bits for it to be looked at: at 0.8, 57.7 do, with a deviation of 3.4.
+AGREE = 46
 #: Members that one verification task run holds against its representative.
 RUN = 2000
+#: Rows of one table, and documents of one family, that a task holds against as many others.
+TABLE_BLOCK, FAMILY_BLOCK = 4000, 800
 
 _ids = WordIds()
 
@@ -50,11 +52,11 @@ def words_hash(data: bytes) -> np.ndarray:
     return _ids.array(data.lower().split())
 
 
-SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, keys binary, s1 long, s2 long"
+SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, keys binary, sig binary"
 
 
 def summaries(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """One row per document: the size of its set, a 128-bit hash of the set, its group keys and a sketch of 128 bits."""
+    """One row per document: the size of its set, a 128-bit hash of the set, its group keys, and its minima's low bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, rows=2048, megabytes=8):
@@ -62,21 +64,17 @@ def summaries(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
             hashes = np.zeros((len(sets), 2), np.uint64)
-            sketch = np.zeros((len(sets), 2), np.uint64)
             keys: list[bytes | None] = [None] * len(sets)
+            sigs: list[bytes | None] = [None] * len(sets)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 offsets = np.cumsum(sizes[full]) - sizes[full]
                 for k, salt in enumerate((0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C)):
                     hashes[full, k] = mix64(np.add.reduceat(mix64(flat ^ np.uint64(salt)), offsets) + sizes[full].astype(np.uint64))
-                mins = minhashes(flat, offsets, 2 * GROUP * GROUPS + 128)
-                made = packed(group_keys(mins[:, : 2 * GROUP * GROUPS]))
-                bits = mins[:, 2 * GROUP * GROUPS :] & np.uint64(1)
-                for k in range(2):
-                    sketch[full, k] = (bits[:, 64 * k : 64 * k + 64] << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-                for i, key in zip(full.tolist(), made, strict=True):
-                    keys[i] = key
-            cols = [batch.column("doc_id"), pa.array(sizes), *(pa.array(hashes[:, k].astype(np.int64)) for k in range(2)), pa.array(keys, pa.binary()), *(pa.array(sketch[:, k].astype(np.int64)) for k in range(2))]
+                mins = minhashes(flat, offsets, 2 * GROUP * GROUPS)
+                for i, key, sig in zip(full.tolist(), packed(group_keys(mins)), packed(mins.astype(np.uint8)), strict=True):
+                    keys[i], sigs[i] = key, sig
+            cols = [batch.column("doc_id"), pa.array(sizes), *(pa.array(hashes[:, k].astype(np.int64)) for k in range(2)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SUMMARY.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text).alias("text")).mapInArrow(run, SUMMARY)
@@ -98,6 +96,150 @@ def table_rows(reps: DataFrame) -> DataFrame:
     return reps.select("id", "keys").mapInArrow(run, "key long, id long")
 
 
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures don't rule out."""
+    for c in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), c)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            if batch.num_rows:
+                same = (_signatures(batch.column("sig_a")) == _signatures(batch.column("sig_b"))).sum(axis=1)
+                yield batch.select(["a", "b"]).filter(pa.array(same >= AGREE))
+
+    sized = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+class Forest:
+    """Disjoint sets of numbered things."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the named columns, as tables; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(c).to_pylist() for c in names)))
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[start]:
+                if keys[start] != now:
+                    if held:
+                        yield pa.Table.from_batches(held)
+                    held, now = [], keys[start]
+                held.append(batch.slice(start, i - start))
+                start = i
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _in_blocks(rows: DataFrame, group: str, block: Column) -> DataFrame:
+    """Each row once for each two blocks of its group of which its own is one: adds x <= y, the two, and mine."""
+    named = rows.withColumn("mine", block)
+    every = named.select(group, "mine").distinct().groupBy(group).agg(F.collect_set("mine").alias("blocks"))
+    paired = named.join(every, group).select("*", F.explode("blocks").alias("other")).drop("blocks")
+    return paired.select("*", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).drop("other")
+
+
+def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join, in each table, what its near pairs across components join; rows (key, id, component, n, sig).
+
+    Pairs are compared within a task and only a spanning forest is sent on, so what comes out is linear in the rows. Tables of
+    over TABLE_BLOCK rows are compared block by block."""
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / TABLE_BLOCK).alias("parts"))
+    placed = rows.join(counts, "key")
+    block = F.pmod(F.xxhash64("id"), "parts")
+    small = placed.where("parts = 1").select(*rows.columns, F.lit(0).cast("long").alias("mine"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    large = _in_blocks(placed.where("parts > 1"), "key", block).select(*rows.columns, "mine", "x", "y")
+    dealt = small.unionByName(large).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(it, ["key", "x", "y"]):
+            ids, component, n, mine = (table.column(c).to_numpy() for c in ("id", "component", "n", "mine"))
+            if component.min() == component.max():
+                continue
+            sig = _signatures(table.column("sig").combine_chunks())
+            forest, found = Forest(len(ids)), []
+            for i in range(len(ids) - 1):
+                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+                if len(rest):
+                    near = rest[(sig[rest] == sig[i]).sum(axis=1) >= AGREE]
+                    found += [(ids[i], ids[j]) for j in near.tolist() if forest.join(i, j)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links by full sets that join, in each family, all that its links across components join; members (id, component,
+    family).
+
+    Each two blocks of a family that hold several components are a task's work; a component of over FAMILY_BLOCK members has
+    blocks of its own, which aren't held against each other. Sets are compared as bits over the shingles that two of them have."""
+    sizes = members.groupBy("family", "component").agg(F.count("*").alias("c"))
+    small = F.when(F.col("c") < FAMILY_BLOCK, F.col("c")).otherwise(0)
+    totals = sizes.groupBy("family").agg(F.ceil(F.sum(small) / FAMILY_BLOCK).alias("parts"), F.count("*").alias("components")).where("components > 1")
+    placed = members.join(sizes, ["family", "component"]).join(totals, "family")
+    own = F.format_string("%d/%d", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / FAMILY_BLOCK)))
+    block = F.when(F.col("c") < FAMILY_BLOCK, F.format_string("/%d", F.pmod(F.xxhash64("component"), "parts"))).otherwise(own)
+    paired = _in_blocks(placed, "family", block)
+    one = lambda c: F.substring_index(c, "/", 1)
+    paired = paired.where((one("x") != one("y")) | (one("x") == "")).select("family", "x", "y", "mine", "id", "component")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
+    dealt = paired.join(rows, "id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches(it, megabytes=8), ["family", "x", "y"]):
+            ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+            if component.min() == component.max():
+                continue
+            sets = [shingle_set(words_hash(t), width) for t in table.column("text").to_pylist()]
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            every, counts = np.unique(np.concatenate(sets), return_counts=True)
+            shared = every[counts > 1]
+            bits = np.zeros((len(sets), (len(shared) + 63) // 64), np.uint64)
+            for k, s in enumerate(sets):
+                at = np.searchsorted(shared, s)
+                at = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == s)] if len(shared) else at[:0]
+                np.bitwise_or.at(bits[k], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+            forest, found = Forest(len(ids)), []
+            for c in np.unique(component):
+                same = np.flatnonzero(component == c).tolist()
+                for j in same[1:]:
+                    forest.join(same[0], j)
+            for i in range(len(ids) - 1):
+                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+                if len(rest):
+                    common = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
+                    linked = rest[100 * common >= percent * (n[rest] + n[i] - common)]
+                    found += [(ids[i], ids[j]) for j in linked.tolist() if forest.join(i, j)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -141,33 +283,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     count as one node, those with a null id as nodes of their own (component_id null, kept). An empty table gives none.
 
     Equal sets are one class, found by a 128-bit hash of the set, and go on as their least id; so copies cost one row each.
-    Classes that share a table are candidates: first each with the least class of the table, then, across the components so
-    far, those whose sketches are near. All candidates are verified on full sets. No bucket, group or partner is capped."""
+    Classes that share a table are candidates. First each is held against the least class of the table. What then is in
+    several components of one table and near by signature makes families, and in a family all pairs across components are
+    compared. All links are by full sets. No bucket, group or partner is capped."""
     made = staged(summaries(docs, width, doc_id, text), "summaries")
-    classes = staged(
-        made.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.max("n_shingles").alias("n")),
-        "classes",
-    )
+    grouped = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
+    classes = staged(grouped.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")), "classes")
     tables = table_rows(classes)
     ends = tables.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
     shared = staged(tables.join(ends, "key"), "tables")
-    size = classes.select("id", "n", "s1", "s2")
-    edges = verified(staged(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs"), docs, width, percent, doc_id, text)
-    edges = staged(edges, "links")
+    pairs = staged(likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes, percent), "pairs")
+    edges = staged(verified(pairs, docs, width, percent, doc_id, text), "links")
     found = staged(components(edges), "components")
-    # tables where classes of several components meet: pairs across them that the sketches and sizes don't rule out
+    # tables where classes of several components meet
     placed = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = staged(placed.join(open_keys, "key").join(size, "id"), "open")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "component", "n", "s1", "s2"))) for k in (1, 2))
-    differ = F.bit_count(F.col("s1_1").bitwiseXOR(F.col("s1_2"))) + F.bit_count(F.col("s2_1").bitwiseXOR(F.col("s2_2")))
-    near = (F.col("component_1") < F.col("component_2")) & (100 * F.least("n_1", "n_2") >= percent * F.greatest("n_1", "n_2")) & (differ <= SKETCH_DIFFER)
-    across = left.join(right, (left["key"] == right["key"]) & near).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
-    across = staged(across.join(edges, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = staged(verified(across, docs, width, percent, doc_id, text), "links")
-        if not more.isEmpty():
-            found = staged(components(edges.unionByName(more)), "components")
+    rest = placed.join(open_keys, "key").join(classes.select("id", "n", "sig"), "id")
+    near = staged(near_pairs(rest, percent).distinct(), "near")
+    families = components(near).withColumnRenamed("component", "family")
+    members = families.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "family")
+    more = staged(family_links(staged(members, "families"), docs, width, percent, doc_id, text), "links")
+    if not more.isEmpty():
+        found = staged(components(edges.unionByName(more)), "components")
     member = made.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2")
     member = member.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).join(found, "id", "left")
     placed = member.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
