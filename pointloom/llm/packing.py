@@ -155,8 +155,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str
             yield from table.append_column("offset", pa.array(offset, pa.int64())).combine_chunks().to_batches()
 
     dealt = part.withColumn("key", mixed).withColumn("share", F.pmod("key", F.lit(groups)).cast("int")).repartition(groups, "share")
-    # full pieces are numbered by an odd hash, others by an even number, so that the two never meet
+    # full pieces have odd numbers, by their place in the staged table, and sequences of others even ones
     whole = pieces.where(F.col("length") >= capacity).withColumns(
-        {"sequence_id": F.shiftleft(F.xxhash64("doc_id", "piece", "ids_crc32"), 1).bitwiseOR(F.lit(1)), "offset": F.lit(0).cast("long")}
+        {"sequence_id": F.shiftleft(F.monotonically_increasing_id(), 1).bitwiseOR(F.lit(1).cast("long")), "offset": F.lit(0).cast("long")}
     )
     return dealt.mapInArrow(run, PACKED).unionByName(whole)
