@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ AGREE = 46
 RUN = 2000
 #: Rows of one table, and documents of one family, that a task holds against as many others.
 TABLE_BLOCK, FAMILY_BLOCK = 4000, 800
+#: Bits of the filter by which texts are fetched: one megabyte.
+FILTER_BITS = 1 << 23
 
 _ids = WordIds()
 
@@ -206,7 +209,7 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int,
     paired = _in_blocks(placed, "family", block)
     one = lambda c: F.substring_index(c, "/", 1)
     paired = paired.where((one("x") != one("y")) | (one("x") == "")).select("family", "x", "y", "mine", "id", "component")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
+    rows = texts_of(placed.select("id"), docs, doc_id, text)
     dealt = paired.join(rows, "id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +243,25 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int,
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def texts_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text) of a superset of the rows that ids has: those whose bit in a filter of FILTER_BITS is set. The filter goes to
+    all executors; its size is fixed, so with very many ids it lets all rows through, and joins then shuffle all texts."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("at"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("word"))
+    got = words.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def wanted(p: pd.Series) -> pd.Series:
+        at = p.fillna(0).to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
+    return rows.where(wanted(place))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -247,7 +269,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
     members is spread over tasks; a run streams past its representative's set, the one thing that is held."""
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
     runs = counts.select("a", F.ceil(F.col("n") / RUN).cast("int").alias("runs"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = texts_of(ends, docs, doc_id, text)
     member = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), F.col("b").alias("id"))
     head = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("id"))
     dealt = member.unionByName(head).join(rows, "id").select("a", "run", "id", "text")
