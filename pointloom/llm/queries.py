@@ -97,4 +97,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words: runs of other than ASCII white space, with A-Z in lower case.
+_WORDS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    # all pairs that share a shingle, and the components of the links by a walk over them
+    "op6_minhash_near_dedup": f"""with recursive d as (select doc_id, {_WORDS} as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) end) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+r as (select doc_id as id, doc_id as reached from d union select r.id, l.b from r join l on l.a = r.reached),
+m as (select id, min(reached) as component_id from r group by id)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.component_id, d.doc_id = m.component_id as kept from d left join n on n.doc_id = d.doc_id join m on m.id = d.doc_id""",
+    # hits of an item's shingles in a document, and what each window that holds a hit has in common with the item
+    "op4_benchmark_decontamination": r"""with i as (select distinct item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark),
+d as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents),
+ig as (select item_id, len(w) - 4 as m, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) as g from i where len(w) >= 5),
+ic as (select item_id, m, g, count(*) as c from ig group by all),
+dg as (select doc_id, len(w) - 4 as total, unnest(range(1, len(w) - 3)) as pos, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))) as g from d where len(w) >= 5),
+h as (select doc_id, total, pos, item_id, m, g, c from dg join ic using (g)),
+s as (select doc_id, item_id, m, g, c, unnest(range(greatest(1, pos - m + 1), least(pos, total - m + 1) + 1)) as start from h),
+c as (select doc_id, item_id, m, start, g, least(count(*), any_value(c)) as both_have from s group by all),
+v as (select doc_id, item_id, start, cast(sum(both_have) as double) as x, m from c group by doc_id, item_id, start, m),
+f as (select *, x / (2 * m - x) as similarity from v where 100 * x >= 80 * (2 * m - x))
+select doc_id, item_id, max(similarity) as similarity, cast(arg_min(start, (-similarity, start)) - 1 as bigint) as start from f group by doc_id, item_id""",
+}
