@@ -118,14 +118,18 @@ class Ppm:
             kinds = np.bincount(of, minlength=len(contexts)).astype(float)
             total = np.bincount(of, weights=n, minlength=len(contexts))
             rest = every[first] - total
-            here = {"cell": Table(keys), "context": Table(contexts), "of": of.astype(np.int32), "n": np.log2(np.maximum(n, 1)), "T": total, "E": kinds + rest, "raw": n, "kinds": kinds, "rest": rest}
+            escape = kinds + rest
+            here = {"cell": Table(keys), "context": Table(contexts), "of": of.astype(np.int32), "T": total, "raw": n, "kinds": kinds, "rest": rest}
+            # what a kept symbol and an escape cost at each context, without exclusion and, by the longer context, with it
+            here["n"] = np.log2(np.maximum(n, 1)).astype(np.float32)
+            space, here["escape"] = _costs(total, escape)
+            here["cost"] = space[of] - here["n"]
             if order:
                 low = self.level[-1]
                 below = low["cell"].find(keys & _mask(order - 1))
                 shorter = low["context"].find(contexts & (_mask(order - 1) >> np.uint64(8)))
                 gone = np.bincount(of, weights=low["raw"][below], minlength=len(contexts))
-                here["T_below"] = low["T"][shorter] - gone
-                here["E_below"] = low["kinds"][shorter] - kinds + low["rest"][shorter]
+                here["space_below"], here["escape_below"] = _costs(low["T"][shorter] - gone, low["kinds"][shorter] - kinds + low["rest"][shorter])
             self.level.append(here)
         self.base = np.log2(256 - (self.level[0]["kinds"][0] if len(self.level[0]["kinds"]) else 0))
         return self
@@ -133,37 +137,42 @@ class Ppm:
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """The code length of each symbol, given as by gram_keys."""
         out = np.zeros(len(keys))
-        todo = np.arange(len(keys))
-        above = np.full(len(keys), -1, np.int32)
+        todo, above = np.arange(len(keys)), np.empty(0, np.int32)
         for order in range(ORDER, -1, -1):
             if not len(todo):
                 return out
             level = self.level[order]
-            if not len(level["n"]):
-                continue
             mine = keys[todo] & _mask(order)
             cell = level["cell"].find(mine)
-            hit = cell >= 0
-            context = np.where(hit, level["of"][cell], -1)
-            missed = np.flatnonzero(~hit)
-            context[missed] = level["context"].find(mine[missed] >> np.uint64(8))
-            known = context >= 0
-            if order < ORDER and len(self.level[order + 1]["n"]):
-                excluded = above >= 0
-                t = np.where(excluded, self.level[order + 1]["T_below"][above], level["T"][context])
-                e = np.where(excluded, self.level[order + 1]["E_below"][above], level["E"][context])
-            else:
-                t, e = level["T"][context], level["E"][context]
-            space = np.log2(np.maximum(t + e, 1e-9))
-            out[todo[hit]] += space[hit] - level["n"][cell[hit]]
-            escape = known & ~hit & (e > 0)
-            out[todo[escape]] += space[escape] - np.log2(e[escape])
-            left = ~hit
-            todo, above = todo[left], np.where(known, context, -1)[left].astype(np.int32)
+            hits = np.flatnonzero(cell >= 0)
+            found = cell[hits]
+            cost = level["cost"][found]
+            if len(above):
+                up = above[hits]
+                longer = np.flatnonzero(up >= 0)
+                cost[longer] = self.level[order + 1]["space_below"][up[longer]] - level["n"][found[longer]]
+            out[todo[hits]] += cost
+            misses = np.flatnonzero(cell < 0)
+            context = level["context"].find(mine[misses] >> np.uint64(8))
+            known = np.flatnonzero(context >= 0)
+            cost = level["escape"][context[known]]
+            if len(above):
+                up = above[misses[known]]
+                longer = np.flatnonzero(up >= 0)
+                cost[longer] = self.level[order + 1]["escape_below"][up[longer]]
+            todo = todo[misses]
+            out[todo[known]] += cost
+            above = context
         out[todo] += self.base
         return out
 
 
+def _costs(total: np.ndarray, escape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log2(T + E), and log2((T + E) / E), 0 where there is no way to escape."""
+    space = np.log2(np.maximum(total + escape, 1e-9))
+    return space.astype(np.float32), np.where(escape > 0, space - np.log2(np.maximum(escape, 1e-9)), 0).astype(np.float32)
+
+
 def blocks_of(docs: DataFrame) -> Column:
     """A name for each row's block that doesn't depend on how a scan is split or which executors there are."""
     try:
