@@ -198,7 +198,7 @@ def _count(shards: int):
 
         def rows(kind: int, part: int, blk: str, made: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
             n = len(made)
-            cols = [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([s for s, _, _ in made], pa.int32()), pa.array([blk] * n), pa.array([k for _, k, _ in made], pa.binary()), pa.array([c for _, _, c in made], pa.binary())]
+            cols = [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([s for s, _, _ in made], pa.int32()), pa.array([blk] * n, pa.string()), pa.array([k for _, k, _ in made], pa.binary()), pa.array([c for _, _, c in made], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["kind", "part", "shard", "blk", "keys", "counts"])
 
         def send(blk: str) -> pa.RecordBatch:
