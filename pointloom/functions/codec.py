@@ -108,6 +108,15 @@ def huffman_size(counts: DataFrame, group: str) -> DataFrame:
     return counts.groupBy(group).applyInPandas(run, f"{group} {kind}, symbols long, bits long, bytes long")
 
 
+def group_codec_sizes(stored: DataFrame, scale: float = 1000.0, intensity_scale: float = 32767.0) -> DataFrame:
+    """The older codec over a whole store: coordinates of sensor-space patches, those of world-space ones, and intensities are
+    each quantised, taken as differences from their least, and Huffman coded byte by byte: (grp, symbols, bits, bytes)."""
+    space = F.when(F.col("transposed"), F.lit("world")).otherwise(F.lit("sensor"))
+    xyz = stored.select(space.alias("grp"), F.explode(F.array(*(quantise_even(F.col(c), scale) for c in "xyz"))).alias("v"))
+    shades = stored.select(F.lit("intensity").alias("grp"), F.explode(F.transform("intensities", lambda i: F.floor(i * intensity_scale).cast("long"))).alias("v"))
+    return huffman_size(byte_counts(frame_of_reference(xyz.unionByName(shades), "v", "grp"), "delta", "grp"), "grp")
+
+
 def delta_blob(values: Iterable[int]) -> bytes:
     """Integers as differences in turn, deflated: the payload whose size stands for a stored channel."""
     v = np.asarray(values, np.int64)

@@ -341,6 +341,22 @@ def huffman_size(spark, sf_dir):
     return codec.huffman_size(byte_histogram(spark, sf_dir), "frame_id")
 
 
+@query()
+def group_codec(spark, sf_dir):
+    return codec.group_codec_sizes(stored(spark, sf_dir))
+
+
+@query("select cast(o as bigint) as octant, cast(a as bigint) as axis, " + m("case when (o >> a) & 1 = 1 then 1.0 else -2.0 end", "lo") + ", " + m("case when (o >> a) & 1 = 1 then 4.0 else 1.0 end", "hi") + " from (select cast(range as int) as o from range(8)) cross join (select cast(range as int) as a from range(3))")
+def child_bounds(spark, sf_dir):
+    rows = spark.range(8).select(F.col("id").cast("int").alias("octant"))
+    found = None
+    for axis in range(3):
+        lo, hi = octree.child_bounds(F.lit(-2.0), F.lit(4.0), F.col("octant"), axis)
+        one = rows.select(F.col("octant").cast("long"), F.lit(axis).cast("long").alias("axis"), micro(lo).alias("lo"), micro(hi).alias("hi"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 COSTS = f"(select * from (values {', '.join(f'({k}, {OPTIONS.time_cost[k]!r}::double, {OPTIONS.score_cost[k]!r}::double)' for k in OPTIONS.time_cost)}) as v(len, t, s))"
 MIX = f"""with c as {COSTS}, mixes as (select n4, n3, n2, 48 - 4*n4 - 3*n3 - 2*n2 as n1 from (select cast(range as int) as n4 from range(13)) cross join (select cast(range as int) as n3 from range(17)) cross join (select cast(range as int) as n2 from range(25)) where 4*n4 + 3*n3 + 2*n2 <= 48),
 costed as (select *, n4*(select t from c where len=4) + n3*(select t from c where len=3) + n2*(select t from c where len=2) + n1*(select t from c where len=1) as time, n4*(select s from c where len=4) + n3*(select s from c where len=3) + n2*(select s from c where len=2) + n1*(select s from c where len=1) as score from mixes)
