@@ -125,9 +125,9 @@ def dedup(points: DataFrame, segments: DataFrame, poses: DataFrame, options: Opt
     """STORED rows of all segments. points: frame_id, point_id, x, y, z, intensity; segments: segment_id, start_frame,
     end_frame; poses: frame_id, pose (12 numbers, camera). Points of frames in no segment are left out."""
     from pointloom.functions.geometry import sensor_pose
+    from pointloom.operators.retrieve import frame_map
 
-    inside = (F.col("frame_id") >= F.col("start_frame")) & (F.col("frame_id") < F.col("end_frame"))
-    framed = points.select("frame_id", "point_id", "x", "y", "z", "intensity").join(segments, inside)
+    framed = points.select("frame_id", "point_id", "x", "y", "z", "intensity").join(frame_map(segments), "frame_id")
     placed = framed.join(poses.select("frame_id", sensor_pose(F.col("pose"), options.tr).alias("pose")), "frame_id", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -10,22 +10,22 @@ from pointloom.operators.store import HEADER, TRAILER
 from pointloom.options import Options
 
 
+def frame_map(segments: DataFrame) -> DataFrame:
+    """(frame_id, segment_id, start_frame, end_frame): a row a frame, so that lookups are equi-joins at any number of segments."""
+    return segments.where("start_frame < end_frame").select(F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame_id"), "segment_id", "start_frame", "end_frame")
+
+
 def lookup_segment(queries: DataFrame, segments: DataFrame) -> DataFrame:
     """Each queried frame with its segment, [start, end). Segments tile a sequence, so a frame has one at most."""
-    return queries.join(F.broadcast(segments) if _small(segments) else segments, (F.col("frame_id") >= F.col("start_frame")) & (F.col("frame_id") < F.col("end_frame")))
+    return queries.join(frame_map(segments), "frame_id")
 
 
 def overlap_segments(queries: DataFrame, segments: DataFrame) -> DataFrame:
-    """Each range with the segments that it overlaps; columns first and last are the frames to read of each, last exclusive."""
-    s = segments.select("segment_id", F.col("start_frame").alias("seg_start"), F.col("end_frame").alias("seg_end"))
-    s = F.broadcast(s) if _small(segments) else s
-    joined = queries.join(s, (F.col("seg_start") < F.col("end_frame")) & (F.col("seg_end") > F.col("start_frame")))
-    return joined.withColumns({"first": F.greatest("seg_start", "start_frame"), "last": F.least("seg_end", "end_frame")})
-
-
-def _small(df: DataFrame, limit: int = 8 << 20) -> bool:
-    """Whether the optimizer bounds the table's size by limit bytes; larger ones join as Spark sees fit."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    """Each range with the segments that it overlaps, and the frames of each that it reads: (query_id, segment_id, seg_start,
+    first, last), last exclusive. Ranges name their frames, and those are grouped again by segment."""
+    frames = queries.where("start_frame < end_frame").select("query_id", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame_id"))
+    joined = frames.join(frame_map(segments), "frame_id")
+    return joined.groupBy("query_id", "segment_id", F.col("start_frame").alias("seg_start")).agg(F.min("frame_id").alias("first"), (F.max("frame_id") + 1).alias("last"))
 
 
 def wanted_frames(queries: DataFrame, segments: DataFrame, n_frames: int | None = None) -> DataFrame:
@@ -41,10 +41,10 @@ def wanted_frames(queries: DataFrame, segments: DataFrame, n_frames: int | None
     if n_frames is not None:
         bad = (F.col("start_frame") < 0) | (F.col("end_frame") > n_frames) | (F.col("start_frame") >= F.col("end_frame"))
         queries = queries.withColumn("end_frame", F.when(bad, F.raise_error(F.lit("empty range or out of bounds"))).otherwise(F.col("end_frame")))
-    found = overlap_segments(queries, segments).where("first < last")
-    return found.select("query_id", "segment_id", "seg_start", F.explode(F.sequence("first", F.col("last") - 1)).alias("frame_id")).select(
-        "query_id", "frame_id", "segment_id", (F.col("frame_id") - F.col("seg_start")).alias("frame_rel")
-    )
+    frames = queries.select("query_id", "start_frame", "end_frame").where("start_frame < end_frame")
+    frames = frames.select("query_id", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame_id"))
+    found = frames.join(frame_map(segments), "frame_id")
+    return found.select("query_id", "frame_id", "segment_id", (F.col("frame_id") - F.col("start_frame")).alias("frame_rel"))
 
 
 def reconstruct(wanted: DataFrame, store: dict[str, DataFrame], segments: DataFrame, poses: DataFrame, options: Options = Options()) -> DataFrame:
