@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: ASCII white space, the separators of the word pattern [^\x20\x09-\x0D]+; bytes.split() splits on just these.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Entries a worker's word cache may hold before it is emptied.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +52,18 @@ def as_bytes(text: str | Column) -> Column:
     return F.coalesce(col.cast("binary"), F.lit(b""))
 
 
+_live: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What make() made for this name, if it was the last that this worker asked for; else it is made now. A worker serves many
+    tasks, of one operator after the other, and so holds the cache of one at a time."""
+    if name not in _live:
+        _live.clear()
+        _live[name] = make()
+    return _live[name]  # type: ignore[return-value]
+
+
 class WordIds(dict):
     """bytes -> 64-bit hash, remembered; a stable hash, the same on all executors."""
 

@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import batches, crc_mod, mix64
+from pointloom.llm.common import batches, crc_mod, kept, mix64
 
 #: Words of more letters are scored in runs of so many.
 RUN = 24
 #: Probability of a letter that no piece covers, and the weight of the pooled counts in a language's piece probabilities.
 UNKNOWN, POOLED = 1e-7, 50.0
 #: Words that a worker remembers, and distinct words of a language that it counts before it folds them into piece counts.
-REMEMBERED, FOLD = 500_000, 200_000
+REMEMBERED, FOLD = 300_000, 200_000
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x100000001B3 | 1)
@@ -206,9 +206,6 @@ def fit(docs: DataFrame, pieces: list[str]) -> Model:
     return Model(pieces, languages, np.log(docs_of / max(1.0, docs_of.sum())) if languages else docs_of, probability)
 
 
-_open: dict[str, Model] = {}
-
-
 def identify(docs: DataFrame, vocabulary_path: str, held_out: int = 2, modulus: int = 4) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per input row; predicted from the text alone.
 
@@ -219,10 +216,7 @@ def identify(docs: DataFrame, vocabulary_path: str, held_out: int = 2, modulus:
     model = fit(docs.where(crc_mod("doc_id", modulus) != held_out), pieces)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.key not in _open:
-            _open.clear()
-            _open[model.key] = model.open()
-        own = _open[model.key]
+        own = kept(f"language {model.key}", model.open)
         for batch in batches(it, rows=2048, megabytes=8):
             langs, scores = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

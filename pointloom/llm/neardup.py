@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import WordIds, as_bytes, batches, mix64, packed, shingle_set, staged
+from pointloom.llm.common import WordIds, as_bytes, batches, kept, mix64, packed, shingle_set, staged
 from pointloom.llm.components import components
 
 #: Hashes in a group, and groups in each of the two collections. A pair of similarity s shares a table if it agrees on a whole
@@ -26,9 +26,6 @@ TABLE_BLOCK, FAMILY_BLOCK = 4000, 800
 #: Bits of the filter by which texts are fetched: one megabyte.
 FILTER_BITS = 1 << 23
 
-_ids = WordIds()
-
-
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return seeds[:n] | np.uint64(1), seeds[n:]
@@ -52,7 +49,7 @@ def group_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def words_hash(data: bytes) -> np.ndarray:
-    return _ids.array(data.lower().split())
+    return kept("words", WordIds).array(data.lower().split())
 
 
 SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, keys binary, sig binary"

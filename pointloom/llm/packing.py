@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, batches, staged
+from pointloom.llm.common import as_bytes, batches, kept, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -25,13 +25,12 @@ class ChunkIds(dict):
     The tokenizer never merges over white space, nor over the edge between letters and a mark after them, and lowers case;
     so a text's ids are those of its runs, end to end, and a run's are those of its parts."""
 
-    LIMIT = 800_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -55,21 +54,11 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, data.split()))
 
 
-_chunks: list[ChunkIds] = []
-
-
-def chunk_ids(path: str) -> ChunkIds:
-    """The worker's cache for this tokenizer, kept from task to task."""
-    if not _chunks or _chunks[0].path != path:
-        _chunks[:] = [ChunkIds(path)]
-    return _chunks[0]
-
-
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: its document's ids, the separator id 0 at the end, cut every capacity ids."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, step = chunk_ids(tokenizer_path), 4 * capacity
+        chunks, step = kept(f"chunks {tokenizer_path}", lambda: ChunkIds(tokenizer_path)), 4 * capacity
         for batch in batches(it):
             ids, out = batch.column("doc_id").to_pylist(), ([], [], [], [], [])
             for who, data in zip(ids, batch.column("text").to_pylist(), strict=True):

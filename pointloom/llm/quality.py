@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import SPACE_BYTES, WordIds, as_bytes, batches, mix64
+from pointloom.llm.common import SPACE_BYTES, WordIds, as_bytes, batches, kept, mix64
 
 #: Symbols that the base counts, and the largest shares of characters in repeated n-grams of a good text, by n.
 #: The shares are twice the published ones for web text, so that a short text may say one line of its own again.
@@ -28,7 +28,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
-_ids = WordIds()
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -97,7 +96,8 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     length = (cells[end] - cells[begin] + letter[begin]).astype(np.int64)
     doc = np.searchsorted(starts, begin, "right") - 1
     words = np.bincount(doc, minlength=n)
-    ids = np.concatenate([_ids.array(t.split()) for t in texts]) if n else np.empty(0, np.uint64)
+    word_ids = kept("words", WordIds)
+    ids = np.concatenate([word_ids.array(t.split()) for t in texts]) if n else np.empty(0, np.uint64)
     m = len(ids)
     by_doc = lambda x: np.bincount(doc, weights=x, minlength=n)
     chars = np.maximum(by_doc(length), 1)

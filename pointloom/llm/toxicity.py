@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import batches, crc_mod
+from pointloom.llm.common import batches, crc_mod, kept, staged
 
 #: Labelled rows that the model is fitted on, at most: those whose ids hash lowest.
 SAMPLE_ROWS = 20_000
@@ -23,6 +23,8 @@ SUPPORT, WORD_ODDS, STEM_ODDS = 5, 2.5, 3.5
 #: Different words that must stand before a term in toxic documents (of 64 classes). Near copies of one document, all with one
 #: label, would else make entries of its rare words.
 CONTEXTS, CONTEXT_SHARE = 4, 0.3
+#: Words that a worker remembers the matches of, and parts that the sample's terms are counted in.
+REMEMBERED, PARTS = 300_000, 16
 #: Words to each side of a match that its context score looks at.
 WINDOW = 8
 #: Words of direct address, and words that report what others say.
@@ -132,7 +134,7 @@ class Lexicon:
 
     def hits(self, words: list[str]) -> set[str]:
         distinct = set(words)
-        if len(self.seen) > 1_000_000:
+        if len(self.seen) > REMEMBERED:
             self.seen.clear()
         for word in distinct.difference(self.seen):
             self.seen[word] = self.match(word)
@@ -214,7 +216,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
             cols.append(pa.array([before.get(t, 0) for t in part], pa.int64()))
             yield pa.RecordBatch.from_arrays(cols, ["term", "stem", "toxic", "clean", "before"])
 
-    made = sample.select("text", "toxic").mapInArrow(run, "term string, stem boolean, toxic long, clean long, before long")
+    made = sample.select("text", "toxic").repartition(PARTS).mapInArrow(run, "term string, stem boolean, toxic long, clean long, before long")
     return made.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("before").alias("before"))
 
 
@@ -228,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5,
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
     sample = sample.groupBy(F.xxhash64("text").alias("hash"), "toxic").agg(F.min("text").alias("text"))
-    sample = sample.select("text", "toxic")
+    sample = staged(sample.select("text", "toxic"), "sample")  # is read for the terms and for the features
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
         return None
@@ -260,17 +262,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5,
     return Model(lexicon, logistic(x, got.column("toxic").to_numpy().astype(float)))
 
 
-_models: dict[str, Model] = {}
-
-
-def _kept(model: Model, key: str) -> Model:
-    """The worker's copy of the model, so that what it has seen outlasts a task."""
-    if key not in _models:
-        _models.clear()
-        _models[key] = model
-    return _models[key]
-
-
 def with_score(docs: DataFrame, model: Model | None, column: str = "score", text: str = "text") -> DataFrame:
     """docs and their scores; without a model all are 0."""
     import uuid
@@ -280,7 +271,7 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score", text
     key = uuid.uuid4().hex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _kept(model, key)
+        own = kept(f"toxicity {key}", lambda: model)
         for batch in batches(it, column=text):
             scores = own.score([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
