@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +16,18 @@ from pointloom.llm.common import as_bytes, batches, crc_mod, estimated_bytes, mi
 
 #: Bytes of context at most. A text is preceded by ORDER pads and ended by one; 0xFF never occurs in UTF-8.
 ORDER, PAD = 6, 0xFF
-#: A context and symbol is kept if its count times this is at least all training symbols. So an order has CELLS cells at most, at
-#: any size of corpus, and what is broadcast is bounded by (ORDER + 1) * CELLS * 24 bytes.
-CELLS = 1 << 20
+#: Counts up to this order go to all, whole: 2^24 cells at most, of which texts use some ten thousand. Longer contexts are dealt
+#: to shards by their last LOW + 1 bytes, so a shard has all counts that end in them.
+LOW = 2
 #: Rows of a file that make a block, the unit whose words are counted and looked up together.
 BLOCK_ROWS = 4096
 #: Bytes of a long text that are turned into keys at once.
 PIECE = 1 << 20
+#: Grams of a block or shard that wait to be added up.
+WAITING = 2_000_000
 WORDS, GRAMS, STATS = 0, 1, 2
 
-PARTIAL = "kind int, part int, shard int, blk string, keys binary, counts binary"
+PARTIAL = "kind int, shard int, blk string, keys binary, counts binary"
 
 
 def _mask(order: int) -> np.uint64:
@@ -64,6 +67,56 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
 
 
+def rolled(keys: np.ndarray) -> np.ndarray:
+    """Keys with the context's bytes in reverse, the nearest one highest, so that contexts with an ending in common are together."""
+    return ((keys >> np.uint64(8)) << np.uint64(16)).byteswap() << np.uint64(8) | (keys & np.uint64(255))
+
+
+def unrolled(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(8)).byteswap() >> np.uint64(16) << np.uint64(8) | (keys & np.uint64(255))
+
+
+def pressed(values: np.ndarray) -> bytes:
+    """Values byte by byte of all of them, compressed: few bytes each, as sorted keys and counts have most bytes in common."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def unpressed(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * width, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+class Sums:
+    """Distinct keys and the sums of their counts, folded whenever WAITING are held."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > WAITING:
+            self.fold()
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.concatenate(c) for c in zip((np.empty(0, np.uint64), np.empty(0, np.int64)), *self.held))
+        self.held, self.waiting = [summed(keys, counts)], 0
+        return self.held[0]
+
+
+def cells_of(keys: np.ndarray, counts: np.ndarray, top: int, bottom: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The cells of the orders from top to bottom, none left out, of keys of order top and their counts."""
+    out = {}
+    for order in range(top, bottom - 1, -1):
+        keys, counts = summed(keys & _mask(order), counts)
+        _, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+        out[order] = keys, counts, np.bincount(of, weights=counts).astype(np.int64)[of]
+    return out
+
+
 class Table:
     """uint64 keys -> their index, by open addressing; many lookups at a time. Missing keys give -1."""
 
@@ -101,18 +154,18 @@ class Ppm:
     kept at all its suffixes, what is excluded depends on the longer context alone, and T and E after it are stored with it.
     Below order 0 the symbols not kept there are equally likely."""
 
-    def __init__(self, cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], low: Ppm | None = None):
         """cells: for each order the kept keys (context and symbol) in order, their counts, and the counts of all symbols of the
-        context."""
-        self.cells = cells
+        context. low: a model that has the orders up to LOW."""
+        self.cells, self.low = cells, low
         self.opened = False
 
     def open(self) -> Ppm:
         if self.opened:
             return self
         self.opened = True
-        self.level: list[dict] = []
-        for order in range(ORDER + 1):
+        self.level: list[dict] = self.low.open().level[: LOW + 1] if self.low else []
+        for order in range(len(self.level), ORDER + 1):
             keys, n, every = self.cells.get(order, (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)))
             contexts, first, of = np.unique(keys >> np.uint64(8), return_index=True, return_inverse=True)
             kinds = np.bincount(of, minlength=len(contexts)).astype(float)
@@ -184,109 +237,105 @@ def blocks_of(docs: DataFrame) -> Column:
     return F.concat_ws(":", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).cast("string"))
 
 
+def _low_grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each symbol with the LOW bytes before it, counted, of one task's texts."""
+    sums = Sums()
+    lead, end = bytes([PAD]) * LOW, bytes([PAD])
+    for batch in batches(it, rows=1024, megabytes=2):
+        blob = np.frombuffer(b"".join(lead + t.lower() + end for t in batch.column("text").to_pylist()), np.uint8).astype(np.uint32)
+        grams = np.zeros(len(blob), np.uint32)
+        for k in range(LOW + 1):
+            grams[k:] |= blob[: len(blob) - k] << np.uint32(8 * k)
+        sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64) + LOW + 1
+        keep = np.ones(len(blob), bool)
+        for k in range(LOW):
+            keep[np.cumsum(sizes) - sizes + k] = False
+        keys, counts = summed(grams[keep])
+        sums.add(keys.astype(np.uint64), counts)
+    keys, counts = sums.fold()
+    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["gram", "n"])
+
+
 def _count(shards: int):
     from xxhash import xxh3_64_intdigest
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
-        grams, held, waiting, trained, symbols = [], [], 0, 0, 0
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = summed(np.concatenate([k for k, _ in grams]), np.concatenate([c for _, c in grams]))
-            grams[:] = [(keys, counts)]
-            return keys, counts
+        grams: dict[str, Sums] = {}
+        trained = 0
 
-        def rows(kind: int, part: int, blk: str, made: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        def rows(kind: int, blk: str, made: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
             n = len(made)
-            cols = [pa.array([kind] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([s for s, _, _ in made], pa.int32()), pa.array([blk] * n, pa.string()), pa.array([k for _, k, _ in made], pa.binary()), pa.array([c for _, _, c in made], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["kind", "part", "shard", "blk", "keys", "counts"])
+            cols = [pa.array([kind] * n, pa.int32()), pa.array([s for s, _, _ in made], pa.int32()), pa.array([blk] * n, pa.string()), pa.array([k for _, k, _ in made], pa.binary()), pa.array([c for _, _, c in made], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["kind", "shard", "blk", "keys", "counts"])
 
-        def send(blk: str) -> pa.RecordBatch:
+        def send(blk: str) -> Iterator[pa.RecordBatch]:
             split: dict[int, list[bytes]] = {}
             own = words.pop(blk)
             for w in own:
                 split.setdefault(xxh3_64_intdigest(w) % shards, []).append(w)
-            return rows(WORDS, 0, blk, [(s, b"\n".join(ws), np.array([own[w] for w in ws], np.int64).tobytes()) for s, ws in split.items()])
+            yield rows(WORDS, blk, [(s, b"\n".join(ws), np.array([own[w] for w in ws], np.int64).tobytes()) for s, ws in split.items()])
+            keys, counts = grams.pop(blk).fold()
+            shard = (mix64(keys >> np.uint64(8 * (ORDER - LOW))) % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[by], np.arange(shards + 1))
+            yield rows(GRAMS, blk, [(s, pressed(keys[by[a:b]]), pressed(counts[by[a:b]])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
 
         for batch in batches(it, rows=1024, megabytes=2):
             low = [t.lower() for t in batch.column("text").to_pylist()]
-            train = batch.column("train").to_pylist()
-            for blk, learn, text in zip(batch.column("blk").to_pylist(), train, low, strict=True):
+            train, blks = batch.column("train").to_pylist(), batch.column("blk").to_pylist()
+            trained += sum(train)
+            keys = rolled(gram_keys([p for t in low for p in pieces(t)])[0])
+            here = {blk: k for k, blk in enumerate(dict.fromkeys(blks))}
+            sizes = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
+            of, learned = np.repeat([here[blk] for blk in blks], sizes), np.repeat(train, sizes)
+            for blk, k in here.items():
                 if blk not in words and len(words) > 2:
-                    yield send(next(iter(words)))
-                own = words.setdefault(blk, Counter())
-                if learn:
-                    own.update(text.split())
-                else:
-                    own.update(dict.fromkeys(text.split(), 0))
-            texts = [t for t, learn in zip(low, train, strict=True) if learn]
-            if texts:
-                trained += len(texts)
-                held.append(gram_keys([p for t in texts for p in pieces(t)])[0])
-                symbols += len(held[-1])
-                waiting += len(held[-1])
-            if waiting > 4_000_000:
-                grams.append(summed(np.concatenate(held)))
-                held, waiting = [], 0
-                if len(grams) > 3:
-                    fold()
+                    yield from send(next(iter(words)))
+                own, sums = words.setdefault(blk, Counter()), grams.setdefault(blk, Sums())
+                for b, learn, text in zip(blks, train, low, strict=True):
+                    if b == blk:
+                        own.update(text.split() if learn else dict.fromkeys(text.split(), 0))
+                sums.add(*summed(keys[(of == k) & learned]))
+                new = summed(keys[(of == k) & ~learned])[0]
+                sums.add(new, np.zeros(len(new), np.int64))
         for blk in list(words):
-            yield send(blk)
-        if not trained:
-            return
-        yield rows(STATS, 0, "", [(0, b"", np.array([0, 0, trained, symbols], np.int64).tobytes())])
-        if held:
-            grams.append(summed(np.concatenate(held)))
-        if grams:
-            keys, counts = fold()
-            for order in range(ORDER, -1, -1):
-                keys, counts = summed(keys & _mask(order), counts)
-                shard = (mix64(keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
-                by = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[by], np.arange(shards + 1))
-                made = [(s, keys[by[a:b]].tobytes(), counts[by[a:b]].tobytes()) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
-                yield rows(GRAMS, order, "", made)
+            yield from send(blk)
+        if trained:
+            yield rows(STATS, "", [(0, b"", np.array([0, 0, trained], np.int64).tobytes())])
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """One shard of one kind: words get their counts over all blocks; grams are added up; of words also V and N."""
-    kind, part, shard = (table.column(c)[0].as_py() for c in ("kind", "part", "shard"))
-    blks, keys, counts = (table.column(c).to_pylist() for c in ("blk", "keys", "counts"))
-    one = lambda k, b, w, c: (k, part, shard, b, w, c)
-    if kind == STATS:
-        out = [one(STATS, "", b"", sum(np.frombuffer(c, np.int64) for c in counts).tobytes())]
-    elif kind == GRAMS:
-        k, c = summed(np.concatenate([np.frombuffer(x, np.uint64) for x in keys]), np.concatenate([np.frombuffer(x, np.int64) for x in counts]))
-        out = [one(GRAMS, "", k.tobytes(), c.tobytes())]
-    else:
-        total: dict[bytes, int] = {}
-        for w, c in zip(keys, counts, strict=True):
-            for word, n in zip(w.split(b"\n"), np.frombuffer(c, np.int64).tolist(), strict=True):
-                total[word] = total.get(word, 0) + n
-        out = [one(WORDS, b, w, np.fromiter(map(total.__getitem__, w.split(b"\n")), np.int64).tobytes()) for b, w in zip(blks, keys, strict=True)]
-        values = np.fromiter(total.values(), np.int64, len(total))
-        out.append(one(STATS, "", b"", np.array([(values > 0).sum(), values.sum(), 0, 0], np.int64).tobytes()))
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["kind", "part", "shard", "blk", "keys", "counts"])
-
-
-def _prune(symbols: int):
-    """Of each shard of grams, the cells common enough, with the counts of all symbols of their contexts."""
-    least = max(1, -(-symbols // CELLS))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for order, k, c in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                _, of = np.unique(keys >> np.uint64(8), return_inverse=True)
-                every = np.bincount(of, weights=counts).astype(np.int64)[of]
-                keep = counts >= least
-                for column, value in zip(out, (order, keys[keep].tobytes(), counts[keep].tobytes(), every[keep].tobytes()), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["order", "keys", "counts", "every"])
+def _merge(low: Broadcast[Ppm]):
+    """One shard of one kind: words get their counts over all blocks, and of them V and N; grams are added up and get their code
+    lengths. The grams of a shard have an ending in common with all cells that their code length depends on but the low ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        blks, keys, counts = (table.column(c).to_pylist() for c in ("blk", "keys", "counts"))
+        one = lambda k, b, w, c: (k, shard, b, w, c)
+        if kind == STATS:
+            out = [one(STATS, "", b"", sum(np.frombuffer(c, np.int64) for c in counts).tobytes())]
+        elif kind == GRAMS:
+            sums = Sums()
+            for k, c in zip(keys, counts, strict=True):
+                sums.add(unpressed(k, np.uint64), unpressed(c, np.int64))
+            every, n = sums.fold()
+            plain = unrolled(every)
+            ppm = Ppm(cells_of(plain[n > 0], n[n > 0], ORDER, LOW + 1), low.value).open()
+            bits = np.concatenate([ppm.bits(plain[a : a + PIECE]) for a in range(0, len(plain), PIECE)]).astype(np.float32)
+            out = [one(GRAMS, b, k, pressed(bits[np.searchsorted(every, unpressed(k, np.uint64))])) for b, k in zip(blks, keys, strict=True)]
+        else:
+            total: dict[bytes, int] = {}
+            for w, c in zip(keys, counts, strict=True):
+                for word, n in zip(w.split(b"\n"), np.frombuffer(c, np.int64).tolist(), strict=True):
+                    total[word] = total.get(word, 0) + n
+            out = [one(WORDS, b, w, np.fromiter(map(total.__getitem__, w.split(b"\n")), np.int64).tobytes()) for b, w in zip(blks, keys, strict=True)]
+            values = np.fromiter(total.values(), np.int64, len(total))
+            out.append(one(STATS, "", b"", np.array([(values > 0).sum(), values.sum(), 0], np.int64).tobytes()))
+        types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["kind", "shard", "blk", "keys", "counts"])
 
     return run
 
@@ -300,64 +349,74 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
     equally likely and the base divides by one. A null doc_id counts as the empty text in the crc. Repeated rows count and are
     scored each.
 
-    One pass counts: each block of a file keeps its words, shards of words add up the blocks' counts and send each block its
-    words' totals, so neither the vocabulary nor a hot word is ever in one place. Byte contexts are added up in shards of
-    contexts, and the common ones, of which there can be CELLS an order, go to all. A second pass scores."""
+    A first pass counts grams up to order LOW, which go to all. A second counts words and whole grams: each block of a file keeps
+    its own, shards add up the blocks' counts and send each block its words' totals and its grams' code lengths, so neither the
+    vocabulary, nor the contexts, nor a hot word is ever in one place, and no context is left out at any size of corpus. A third
+    pass scores."""
     shards = shards or int(min(20_000, max(8, estimated_bytes(docs) // (12 << 20))))
     rows = docs.select("*", blocks_of(docs).alias("blk_")).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("blk_", F.lit("")).alias("blk"), (crc_mod("doc_id", modulus) != held_out).alias("train"), as_bytes("text").alias("text")
     )
+    grams = rows.where("train").select("text").mapInArrow(_low_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    low = Ppm(cells_of(grams.column("gram").to_numpy().astype(np.uint64), grams.column("n").to_numpy().astype(np.int64), LOW, 0))
     partial = rows.mapInArrow(_count(shards), PARTIAL)
-    merged = staged(partial.groupBy("kind", "part", "shard").applyInArrow(_merge, PARTIAL), "counts", "kind")
-    stats = np.zeros(4, np.int64)
+    merge = _merge(docs.sparkSession.sparkContext.broadcast(low))
+    merged = staged(partial.groupBy("kind", "shard").applyInArrow(lambda table: merge(table), PARTIAL), "counts", "kind")
+    stats = np.zeros(3, np.int64)
     for r in merged.where(F.col("kind") == STATS).select("counts").toLocalIterator():
         stats += np.frombuffer(r["counts"], np.int64)
-    distinct, tokens, trained, symbols = stats.tolist()
+    distinct, tokens, trained = stats.tolist()
     ends = trained  # the end is a token of its own kind, one a text
     distinct, tokens = distinct + (ends > 0), tokens + ends
-    kept = merged.where(F.col("kind") == GRAMS).select("part", "keys", "counts").mapInArrow(_prune(symbols), "order int, keys binary, counts binary, every binary").toArrow()
-    cells = {}
-    for order in range(ORDER + 1):
-        mine = kept.filter(pc.equal(kept.column("order"), order))
-        keys, n, every = (np.frombuffer(b"".join(mine.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.int64), ("every", np.int64)))
-        by = np.argsort(keys)
-        cells[order] = keys[by], n[by], every[by]
-    model = docs.sparkSession.sparkContext.broadcast(Ppm(cells))
-    vocabulary = merged.where(F.col("kind") == WORDS).select("blk", F.lit(0).alias("tag"), F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("train"), F.col("keys").alias("text"), "counts")
-    whole = vocabulary.unionByName(rows.select("blk", F.lit(1).alias("tag"), "doc_id", "train", "text", F.lit(None).cast("binary").alias("counts")))
+    totals = merged.where(F.col("kind") != STATS).select("blk", F.col("kind").alias("tag"), F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("train"), F.col("keys").alias("text"), "counts")
+    whole = totals.unionByName(rows.select("blk", F.lit(STATS).alias("tag"), "doc_id", "train", "text", F.lit(None).cast("binary").alias("counts")))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ppm = model.value.open()
-        blk, counts = None, {}
+        blk, counts, held, lengths = None, {}, [], None
         for batch in batches(it, rows=1024, megabytes=1):
             tags, blks, texts = (batch.column(c).to_pylist() for c in ("tag", "blk", "text"))
-            n_known, base, take = [], [], []
+            n_known, base, take, bits, mine = [], [], [], [], []
+
+            def measure() -> None:
+                """Code lengths of the texts that wait, all of one block."""
+                parts = [(i, p) for i, text in enumerate(mine) for p in pieces(text)]
+                total = np.zeros(len(mine))
+                for at in range(0, len(parts), 256):
+                    for some in _cut(parts[at : at + 256]):
+                        keys, starts = gram_keys([p for _, p in some])
+                        np.add.at(total, [i for i, _ in some], np.add.reduceat(lengths[1][lengths[0].find(rolled(keys))], starts, dtype=float))
+                bits.append(total)
+                mine.clear()
+
             for k, (tag, b, text) in enumerate(zip(tags, blks, texts, strict=True)):
                 if b != blk:
-                    blk, counts = b, {}
-                if tag == 0:
+                    if mine:
+                        measure()
+                    blk, counts, held, lengths = b, {}, [], None
+                if tag == WORDS:
                     counts.update(zip(text.split(b"\n"), np.frombuffer(batch.column("counts")[k].as_py(), np.int64).tolist(), strict=True))
                     continue
-                texts[k] = text = text.lower()
+                if tag == GRAMS:
+                    held.append((unpressed(text, np.uint64), unpressed(batch.column("counts")[k].as_py(), np.float32)))
+                    continue
+                if lengths is None:
+                    keys, costs = (np.concatenate(c) for c in zip(*held))
+                    lengths, held = (Table(keys), costs), []
+                text = text.lower()
                 words = text.split()
                 c = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
                 take.append(k)
-                n_known.append((len(words) + 1, int((c > 0).sum()) + (ends > 0)))
+                mine.append(text)
+                n_known.append((len(words) + 1, int((c > 0).sum()) + (ends > 0), len(text) + 1))
                 base.append(float(np.log10(c + 1.0).sum() + np.log10(ends + 1.0) - (len(words) + 1) * np.log10(tokens + distinct + 1.0)))
+            if mine:
+                measure()
             if not take:
                 continue
-            parts = [(i, p) for i, k in enumerate(take) for p in pieces(texts[k])]
-            bits = np.zeros(len(take))
-            for at in range(0, len(parts), 256):
-                for some in _cut(parts[at : at + 256]):
-                    keys, starts = gram_keys([p for _, p in some])
-                    np.add.at(bits, [i for i, _ in some], np.add.reduceat(ppm.bits(keys), starts))
-            sizes = np.array([len(texts[k]) + 1 for k in take])
-            n = np.array(n_known, np.int64)
-            rows_in = pa.array(take)
+            total, n, rows_in = np.concatenate(bits), np.array(n_known, np.int64), pa.array(take)
             cols = [batch.column("doc_id").take(rows_in), pc.invert(batch.column("train").take(rows_in)), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(np.full(len(take), tokens, np.int64))]
-            cols += [pa.array(x, pa.float64()) for x in (base, -bits * np.log10(2.0), bits / sizes)]
+            cols += [pa.array(x, pa.float64()) for x in (base, -total * np.log10(2.0), total / n[:, 2])]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in result.split(", ")])
 
     return whole.repartition("blk").sortWithinPartitions("blk", "tag").mapInArrow(run, result)

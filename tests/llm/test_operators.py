@@ -158,6 +158,24 @@ def test_nothing_to_learn_from(make_docs):
     assert math.isclose(got["score"], -3 * 8 * math.log10(2), rel_tol=1e-6) and got["train_tokens"] == 0 and got["n_known"] == 0
 
 
+def test_no_context_is_left_out_of_a_larger_corpus(make_docs):
+    """Beyond 2^20 training symbols contexts that occur once still count."""
+    common = "some words that are said again and again. " * 6000
+    docs = [(i, common + f"rare{i}" if i % 3 else f"rare{i - 1} quixotic zephyr") for i in range(24)]
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(make_docs(*docs)).collect()}
+    texts = [t.encode() for i, t in docs if not held(i, 7, 2)]
+    keys, counts = lmscore.summed(lmscore.gram_keys([p for t in texts for p in lmscore.pieces(t)])[0])
+    assert counts.sum() > 1 << 20
+    cells = {}
+    for order in range(lmscore.ORDER, -1, -1):
+        keys, counts = lmscore.summed(keys & lmscore._mask(order), counts)
+        _, of = np.unique(keys >> np.uint64(8), return_inverse=True)
+        cells[order] = keys, counts, np.bincount(of, weights=counts).astype(np.int64)[of]
+    ppm = lmscore.Ppm(cells).open()
+    want = [-ppm.bits(lmscore.gram_keys(lmscore.pieces(t.encode()))[0]).sum() * math.log10(2) for _, t in docs]
+    assert np.allclose([got[i] for i, _ in docs], want, rtol=1e-5)
+
+
 # --- language identification
 
 
