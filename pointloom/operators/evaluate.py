@@ -15,10 +15,14 @@ SQUARE = 1e-2
 
 def candidate_pairs(found: DataFrame, raw: DataFrame, distance: float = 1.5, angle: float = math.pi / 10, turns: float = 1.0) -> DataFrame:
     """(frame_id, label, box_1, box_2) that may match: the same frame and label, centres nearer than distance, and angles nearer
-    than angle, or half a turn apart if both boxes are square. Boxes are [x, y, z, l, w, h, theta]."""
+    than angle, or half a turn apart if both boxes are square. Boxes are [x, y, z, l, w, h, theta]. Only boxes in adjoining cells
+    of the ground are paired; a cell is a little wider than distance, so rounding loses none."""
     a = found.select("frame_id", "label", F.col("box_idx").alias("box_1"), F.col("box").alias("b1"))
     b = raw.select("frame_id", "label", F.col("box_idx").alias("box_2"), F.col("box").alias("b2"))
-    pairs = a.join(b, ["frame_id", "label"])
+    cell = lambda box, k: F.floor(F.col(box)[k] / (distance * 1.001))
+    near = lambda k: F.explode(F.sequence(cell("b1", k) - 1, cell("b1", k) + 1))
+    a = a.withColumn("cx", near(0)).withColumn("cy", near(1))
+    pairs = a.join(b.withColumn("cx", cell("b2", 0)).withColumn("cy", cell("b2", 1)), ["frame_id", "label", "cx", "cy"])
     b1, b2 = F.col("b1"), F.col("b2")
     apart = F.sqrt(sum(((b1[k] - b2[k]) * (b1[k] - b2[k]) for k in (1, 2)), (b1[0] - b2[0]) * (b1[0] - b2[0])))
     turn = angle_difference(normalise_angle(b1[6], turns), normalise_angle(b2[6], turns))

@@ -79,7 +79,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(i / FRAMES).cast("int").alias("box_idx"),
         (F.length("event_type") % 3).cast("int").alias("label"),
         (F.abs(F.col("value")) / 50 % 1).alias("score"),
-    ).where("box_idx < 60")
+    )
     sides = base.select("*", F.explode(F.array(F.lit("raw"), F.lit("reconstructed"))).alias("source"))
     moved = (F.col("source") == "reconstructed").cast("double")
     box = F.array(

@@ -428,18 +428,20 @@ where a.source = 'reconstructed' and c.source = 'raw' and {filter_1} and {filter
 and ({diff} < {angle} or (abs(a.l-a.w) < 0.01 and abs(c.l-c.w) < 0.01 and abs({diff} - pi()) < {angle})))"""
 
 
+#: The boxes of a frame that the SQL takes; queries with SQL take the same, those without take all.
+IN_SQL = "box_idx < 60"
 FWD = _pairs_sql("a.score > 0.45", "c.score > 0.45", "pi()/10", "pi()")
 
 
 @query(duck(f"select {', '.join(b(c, c) for c in ('frame_id', 'label', 'box_1', 'box_2'))} from det_pairs", "detections", also=FWD))
 def det_pairs_fwd(spark, sf_dir):
-    return longs(evaluate.candidate_pairs(*evaluate.sides(fx.detections(spark, sf_dir), 0.45)))
+    return longs(evaluate.candidate_pairs(*evaluate.sides(fx.detections(spark, sf_dir).where(IN_SQL), 0.45)))
 
 
 @query(duck(f"select {', '.join(b(c, c) for c in ('frame_id', 'box_idx'))} from detections d where source = 'raw' and score > 0.45 and not exists (select 1 from det_pairs p where p.frame_id = d.frame_id and p.box_2 = d.box_idx)", "detections", also=FWD))
 def det_unmatched(spark, sf_dir):
     """Raw boxes without any candidate."""
-    found, raw = evaluate.sides(fx.detections(spark, sf_dir), 0.45)
+    found, raw = evaluate.sides(fx.detections(spark, sf_dir).where(IN_SQL), 0.45)
     return longs(evaluate.unmatched(raw, evaluate.candidate_pairs(found, raw), "box_2"), "frame_id", "box_idx")
 
 

@@ -13,6 +13,7 @@ from pointloom.functions import codec
 from pointloom.operators import baselines, evaluate, octree, planner
 from pointloom.options import Options
 from pointloom.plans import fixture as fx
+from pointloom.plans.registry import QUERIES
 from pointloom.sources import readers, writers
 from pointloom.streaming import frames as streaming
 
@@ -179,3 +180,30 @@ def test_stream_of_frames(spark, tmp_path):
     q.stop()
     assert {r["file_name"]: r["n_points"] for r in spark.table("arrived").collect()} == {"000000.bin": 2, "000001.bin": 1}
     assert streaming.points_by_window(files).isStreaming
+
+
+def test_detections_are_all_events(spark):
+    """Matching by cells over all events equals first fit over all pairs."""
+    sf = "/root/testdata/sf0.01"
+    d = fx.detections(spark, sf).toPandas()
+    assert (d.source == "raw").sum() == spark.read.parquet(f"{sf}/events.parquet").count()
+    raw, found = d[(d.source == "raw") & (d.score > 0.5)], d[d.source == "reconstructed"]
+    want = set()
+    for (frame, label), r in raw.groupby(["frame_id", "label"]):
+        f = found[(found.frame_id == frame) & (found.label == label)]
+        b1, b2 = np.array(f.box.tolist()), np.array(r.box.tolist())
+        apart = np.sqrt(((b1[:, None, :3] - b2[None, :, :3]) ** 2).sum(-1))
+        turn = b1[:, None, 6] - b2[None, :, 6]
+        turn = np.abs(np.arctan2(np.sin(turn), np.cos(turn)))
+        square = (np.abs(b1[:, 3] - b1[:, 4]) < 0.01)[:, None] & (np.abs(b2[:, 3] - b2[:, 4]) < 0.01)[None]
+        ok = (apart < 1.5) & ((turn < math.pi / 6) | (square & (np.abs(turn - math.pi) < math.pi / 6)))
+        used: set[int] = set()
+        for j in np.argsort(r.box_idx.to_numpy()):
+            free = sorted(x for x in f.box_idx.to_numpy()[ok[:, j]] if x not in used)
+            if free:
+                used.add(free[0])
+                want.add((frame, label, free[0], r.box_idx.iloc[j]))
+    got = {(r["frame_id"], r["label"], r["box_1"], r["box_2"]) for r in QUERIES["det_match_rev"](spark, sf).collect()}
+    assert got == want and max(j for *_, j in got) >= 60
+    boxes = QUERIES["det_accuracy"](spark, sf).agg(F.sum("boxes"), F.sum("matched")).first()
+    assert tuple(boxes) == (len(raw), len(want))
