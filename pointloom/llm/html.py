@@ -50,8 +50,6 @@ STOP = frozenset(
 #: A block of this many characters is long; below the other it is short. Shares of stop words that decide, and of linked text.
 LONG, SHORT = 200, 70
 STOP_LOW, STOP_HIGH, LINKS = 0.10, 0.20, 0.35
-#: Blocks to each side that a short block looks for a decided one.
-REACH = 12
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S
@@ -192,12 +190,18 @@ def classify(found: list[Block]) -> None:
             b.label = "bad"
         else:
             b.label = "short"
-    decided = [b.label for b in found]
-    for i, b in enumerate(found):
+    # neighbours within the same kind of container say more: what the markup sets outside the article is passed over
+    looks: list[list[str]] = [[] for _ in found]
+    for span in (range(len(found)), range(len(found) - 1, -1, -1)):
+        last = {True: "", False: ""}
+        for i in span:
+            b = found[i]
+            looks[i].append(last[b.inside])
+            if b.label != "short" and not b.outside:
+                last[b.inside] = b.label
+    for b, look in zip(found, looks, strict=True):
         if b.label != "short":
             continue
-        # neighbours within the same kind of container say more: what the markup sets outside the article is passed over
-        look = [next((decided[j] for j in span if decided[j] != "short" and not found[j].outside and found[j].inside == b.inside), "") for span in (range(i - 1, max(-1, i - 1 - REACH), -1), range(i + 1, min(len(found), i + 1 + REACH)))]
         if b.inside:  # an article element vouches for what it holds
             b.label = "good" if "good" in look or "bad" not in look else "bad"
         else:

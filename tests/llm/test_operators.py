@@ -228,6 +228,16 @@ def test_article_of_a_page(wrap):
     assert html.main_text(PAGE % (wrap % BODY)) == TEXT
 
 
+def test_long_runs_of_short_blocks_stay():
+    """Without an article element, blocks between good ones are good at any distance, and blocks outside don't count."""
+    good = "<p>The text that is to be judged by its words is here, and it is about what was and what will be for all of us.</p>"
+    lines = "".join(f"<p>Verse {k}</p>" for k in range(60))
+    got = html.main_text(f"<body>{good}{lines}{good}</body>").split("\n\n")
+    assert got[1:-1] == [f"Verse {k}" for k in range(60)]
+    aside = "<aside>Note</aside>" * 20
+    assert html.main_text(f"<body>{good}{aside}<p>Verse</p>{aside}{good}</body>").split("\n\n")[1:-1] == ["Verse"]
+
+
 def test_broken_and_strange_pages():
     assert html.main_text("") == "" and html.main_text("<nav><a href='/'>Home</a></nav>") == ""
     assert html.main_text("<article><p>The text that ends in the middle of a ta<b") == "The text that ends in the middle of a ta"
