@@ -84,21 +84,23 @@ class Benchmark:
         out[at] = self.shingles[place] == shingles[at]
         return out
 
-    def leaks(self, shingles: np.ndarray, known: np.ndarray) -> dict[int, tuple[float, int]]:
+    def leaks(self, shingles: np.ndarray, known: np.ndarray, shorter: bool = False) -> dict[int, tuple[float, int]]:
         """item -> (best similarity, first window that has it), of a document's shingles.
 
         A window that is PERCENT like an item of its size shares that part of its shingles at least, so a window is
-        fingerprinted only where so many are items'; no window that could pass is left out."""
+        fingerprinted only where so many are items'; no window that could pass is left out. With shorter, a document with
+        fewer shingles than an item is one window, held against it over the union of the two."""
         total = np.concatenate(([0], np.cumsum(known)))
         found: dict[int, tuple[float, int]] = {}
         for n, (items, counts, index) in self.by_length.items():
             m = n - WIDTH + 1
-            if len(shingles) < m:
+            size = min(m, len(shingles))
+            if size < m and not shorter:
                 continue
-            starts = np.flatnonzero(100 * (total[m:] - total[:-m]) >= PERCENT * m)
+            starts = np.flatnonzero(100 * (total[size:] - total[:-size]) >= PERCENT * m)
             for k in range(0, len(starts), 4096):
                 part = starts[k : k + 4096]
-                windows = np.lib.stride_tricks.sliding_window_view(shingles, m)[part]
+                windows = np.lib.stride_tricks.sliding_window_view(shingles, size)[part]
                 for start, window, fingerprint in zip(part.tolist(), windows, fingerprints(windows), strict=True):
                     candidates = index.within(fingerprint)
                     if not len(candidates):
@@ -106,14 +108,14 @@ class Benchmark:
                     own = Counter(window.tolist())
                     for c in candidates.tolist():
                         shared = sum((own & counts[c]).values())
-                        if 100 * shared >= PERCENT * (2 * m - shared):
-                            s = shared / (2 * m - shared)
+                        if 100 * shared >= PERCENT * (size + m - shared):
+                            s = shared / (size + m - shared)
                             if s > found.get(items[c], (0.0, 0))[0]:
                                 found[items[c]] = s, start
         return found
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _pass(docs: DataFrame, items: list[tuple[int, str]], shorter: bool) -> DataFrame:
     benchmark = Benchmark(items)
     other = int(mix64(np.array([1], np.uint64))[0])
 
@@ -136,7 +138,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 a, b = int(ends[d] - sizes[d]), int(ends[d]) - WIDTH + 1
                 if b <= a:
                     continue
-                for item, (s, start) in benchmark.leaks(shingles[a:b], known[a:b]).items():
+                for item, (s, start) in benchmark.leaks(shingles[a:b], known[a:b], shorter).items():
                     for column, value in zip(out, (who[d].as_py(), item, s, start), strict=True):
                         column.append(value)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
@@ -145,12 +147,13 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LEAK)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES, shorter: bool = False) -> DataFrame:
     """(doc_id, item_id, similarity, start): the items that a document has a near copy of, and where the best one starts (in
     words; ties: the first).
 
     Words are runs of word characters, in lower case. A window of as many words as an item is a near copy if the weighted
-    Jaccard similarity of their five-word shingles, each weighing as often as it occurs, is 0.8 or more. Items of less than
+    Jaccard similarity of their five-word shingles, each weighing as often as it occurs, is 0.8 or more. With shorter, a
+    document of fewer words than an item is held against it as a whole, by the same measure. Items of less than
     five words have no shingle and identify nothing. Null ids, null and empty texts of either side match nothing. Repeated rows
     and items give one row for an (doc_id, item_id). The benchmark goes to the executors with the code, item_bytes a pass at
     most: a benchmark of any size is taken whole, in so many passes."""
@@ -161,7 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -
     found = None
     for k in range(passes):
         rows = [(r["item_id"], r["text"]) for r in part.where(F.col("pass") == k).select("item_id", "text").toLocalIterator()]
-        one = _pass(docs.where("doc_id is not null"), rows)
+        one = _pass(docs.where("doc_id is not null"), rows, shorter)
         found = one if found is None else found.unionByName(one)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.start")).alias("start"))

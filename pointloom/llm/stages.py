@@ -40,8 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a near copy of a benchmark item go."""
+    """Documents that hold a near copy of a benchmark item go, and those that are one with some words cut."""
     from pointloom.llm.decontaminate import leaks
 
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak_id")).distinct()
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shorter=True).select(F.col("doc_id").alias("leak_id")).distinct()
     return docs.join(found, docs["doc_id"] == found["leak_id"], "left_anti")

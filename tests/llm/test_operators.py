@@ -287,6 +287,25 @@ def test_leaks_equal_brute_force(spark, make_docs):
     assert {(r["doc_id"], r["item_id"]) for r in passes.collect()} == want
 
 
+def test_shortened_copies_are_leaks(spark, make_docs):
+    """Documents shorter than an item against brute force over the union of unequal sizes."""
+    items = [(k, " ".join(words(20 + 3 * k, k))) for k in range(12)] + [(12, " ".join(["same"] * 40))]
+    cuts = [(i, item.split()[a : len(item.split()) - b]) for i, item in items for a, b in ((0, 2), (1, 0), (3, 3), (0, 4), (5, 5), (0, 0))]
+    want = {}
+    for d, (_, w) in enumerate(cuts):
+        own = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        for j, item in items:
+            v = item.split()
+            other = Counter(tuple(v[k : k + 5]) for k in range(len(v) - 4))
+            shared, union = sum((own & other).values()), sum((own | other).values())
+            if len(w) <= len(v) and 100 * shared >= 80 * union:
+                want[d, j] = shared / union
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = make_docs(*(" ".join(w) for _, w in cuts))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs, bench, shorter=True).collect()}
+    assert got == want and sum(len(cuts[d][1]) < len(dict(items)[j].split()) for d, j in want) > 20
+
+
 def test_leaks_edges(spark, make_docs):
     bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     docs = make_docs(None, "", "one", (None, "one two three four five six"), (7, "x one two three four five six y"), (7, "x one two three four five six y"), extra=True)

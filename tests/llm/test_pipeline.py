@@ -55,6 +55,11 @@ def test_planted_cases(spark, planted):
     assert ids(stages.decontaminate(spark, docs, SF)) == [0, 2, 3, 4, 5, 6, 7, None]
 
 
+def test_shortened_copies_of_items_go(spark, make_docs):
+    item = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=lambda t: len(t.split()))
+    assert ids(stages.decontaminate(spark, make_docs((0, words(80, 1)), (1, item.rsplit(" ", 2)[0])), SF)) == [0]
+
+
 def test_extra_columns_and_repeated_rows_pass(spark, make_docs):
     docs = make_docs((0, words(80, 1)), (0, words(80, 1)), (1, words(70, 2)), extra=True)
     for _, stage in corpus_pipeline.STAGES[:-1]:
