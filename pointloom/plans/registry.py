@@ -169,7 +169,14 @@ def anchor_to_frame(spark, sf_dir):
     return coded(geometry.anchor_to_frame(p, fx.poses(spark)), "anchor_frame", "frame_id", "point_id", of=XYZ)
 
 
+def segment_pairs(spark: SparkSession) -> DataFrame:
+    """Each frame as an anchor with all other frames of its segment."""
+    frames = fx.segments(spark).select("segment_id", F.explode(F.expr("sequence(start_frame, end_frame - 1)")).alias("frame_id"))
+    return frames.withColumnRenamed("frame_id", "anchor_frame").join(frames, "segment_id").where("anchor_frame <> frame_id").select("anchor_frame", "frame_id")
+
+
 def frame_pairs(spark: SparkSession) -> DataFrame:
+    """The pairs that the SQL has; queries without SQL take those of segment_pairs."""
     return spark.createDataFrame([(1, 0), (1, 2)], "anchor_frame int, frame_id int")
 
 
@@ -469,7 +476,7 @@ def greedy_match(spark, sf_dir):
 
 @query()
 def greedy_pair_match(spark, sf_dir):
-    near = neighbours.knn_join(fx.points(spark, sf_dir), frame_pairs(spark), OPTIONS.neighbours)
+    near = neighbours.knn_join(fx.points(spark, sf_dir), segment_pairs(spark), OPTIONS.neighbours)
     return dedup.greedy_pairs(near)
 
 

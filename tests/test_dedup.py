@@ -8,6 +8,7 @@ from pointloom.operators import dedup, neighbours, retrieve, store
 from pointloom.operators.dedup import Frame, cluster_order, dedup_segment, greedy
 from pointloom.options import Options
 from pointloom.plans import fixture as fx
+from pointloom.plans.registry import QUERIES
 
 SF = "/root/testdata/sf0.01"
 GOLDEN = {"both": 591, "relative": 1573, "absolute": 836}
@@ -144,3 +145,23 @@ def test_ties_go_to_the_lower_id():
     a, b = np.zeros((1, 3)), np.array([[0.01, 0, 0], [-0.01, 0, 0], [0, 0.01, 0]])
     assert neighbours.within(a, b, 0.06, 2)[1].tolist() == [[0, 1]]
     assert neighbours.brute(a, b, 2)[1].tolist() == [[0, 1]]
+
+
+def test_pairs_of_all_segments_equal_brute_force(spark):
+    p = fx.points(spark, SF).toPandas().sort_values("point_id")
+    ratio, threshold, want = Options().soft_distance_ratio, Options().distance_threshold, set()
+    for _, start, end in fx.SEGMENTS:
+        for a in range(start, end):
+            for c in set(range(start, end)) - {a}:
+                one, two = p[p.frame_id == a], p[p.frame_id == c]
+                d = np.sqrt(((one[["x", "y", "z"]].to_numpy()[:, None] - two[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(-1))
+                near = np.argsort(d, axis=1, kind="stable")[:, : Options().neighbours]
+                found = sorted((d[i, j], one.point_id.iloc[i], two.point_id.iloc[j]) for i in range(len(one)) for j in near[i] if d[i, j] <= ratio * threshold)
+                used, total, n = set(), 0.0, 0
+                for x, i, j in found:
+                    if (0, i) not in used and (1, j) not in used and (not n or x < threshold or (total + x) / (n + 1) <= threshold):
+                        used |= {(0, i), (1, j)}
+                        total, n = total + x, n + 1
+                        want.add((a, c, i, j))
+    got = {(r["anchor_frame"], r["frame_id"], r["anchor_id"], r["point_id"]) for r in QUERIES["greedy_pair_match"](spark, SF).collect()}
+    assert got == want and {a for a, *_ in got} == set(range(fx.FRAMES))
