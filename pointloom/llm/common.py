@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,13 +20,16 @@ T = TypeVar("T")
 #: ASCII white space, the separators of the word pattern [^\x20\x09-\x0D]+; bytes.split() splits on just these.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Entries a worker's word cache may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one set here where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of this machine is set if
+    the executors run in this process, as in tests; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pointloom-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -37,7 +42,16 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{name}"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path  # type: ignore[attr-defined]
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of staged tables that nothing reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.staged_at)  # type: ignore[attr-defined]
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(doc_id: str | Column, modulus: int) -> Column:
@@ -108,6 +122,14 @@ def packed(arrays: Iterable[np.ndarray]) -> list[bytes]:
     return [np.ascontiguousarray(a).tobytes() for a in arrays]
 
 
+def give_back() -> None:
+    """Returns memory that a task no longer needs to the machine: an idle worker is kept for the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(it: Iterator[pa.RecordBatch], rows: int = 4096, column: str = "text", megabytes: int = 16) -> Iterator[pa.RecordBatch]:
     """The record batches cut so that none exceeds the given rows or, roughly, the bytes of the named column."""
     for batch in it:
@@ -121,6 +143,7 @@ def batches(it: Iterator[pa.RecordBatch], rows: int = 4096, column: str = "text"
             end = min(max(end, start + 1), start + rows, n)
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def input_bytes(df: DataFrame, text: str = "text") -> int:

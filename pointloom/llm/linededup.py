@@ -21,8 +21,8 @@ def _words(line: Column) -> Column:
 
 
 def document_key() -> Column:
-    """A document's id, null as an id before all others."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)))
+    """A document's id and whether it has one, as a hash key: null ids are one id, which no other equals, and sort first."""
+    return F.struct(F.col("doc_id").isNotNull().alias("has"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -103,22 +103,24 @@ def removals(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     return both.select("key", "th", F.transform(gone, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop"))).alias("runs")).where(F.size("runs") > 0)
 
 
-def dedup_lines(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
-    """docs with every column as it came, but text without repeated passages, and a column removed_lines (long).
+def dedup_lines(docs: DataFrame, passage_words: int = PASSAGE_WORDS, report: bool = True, n_chars: str | None = None) -> DataFrame:
+    """docs with every column as it came, but text without repeated passages, and with report a column removed_lines (long) beside
+    them. n_chars names a column that gets the length of the text left.
 
     A line ends at \\n. Chunks of several lines, and single lines of passage_words, that occur again (in another document or
     later in the same) are removed but for the first occurrence, whole and byte for byte equal. Short lines that repeat alone
     stay. Null and empty texts stay as they are. A text all of which is repeated becomes empty; its row stays. Null ids are
     dealt with as one id that comes first. Rows with the same id and text are one document: all keep or lose the same lines.
-    Columns may have any other names but _key, _th and _runs. An empty table gives an empty table."""
-    marks = removals(docs, passage_words).toDF("_key", "_th", "_runs")
-    own = docs.withColumns({"_key": document_key(), "_th": F.xxhash64("text")})
-    joined = own.join(marks, ["_key", "_th"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda line, i: ~F.exists("_runs", lambda r: (r["start"] <= i) & (i <= r["stop"])))
-    has = F.col("_runs").isNotNull()
-    out = joined.withColumn("_kept", F.when(has, kept))
-    return out.select(
-        *(F.when(has, F.array_join("_kept", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.when(has, (F.size(lines) - F.size("_kept")).cast("long")).otherwise(F.lit(0).cast("long")).alias("removed_lines"),
-    )
+    Other columns may have any names; one named removed_lines is replaced. An empty table gives an empty table."""
+    # the columns of docs travel as one, so that no name of theirs meets one used here
+    own = docs.select(document_key().alias("key"), F.xxhash64("text").alias("th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = own.join(removals(docs, passage_words), ["key", "th"], "left")
+    text = F.col("row.text")
+    lines = F.split(text, "\n", -1)
+    kept = F.filter(lines, lambda line, i: ~F.exists("runs", lambda r: (r["start"] <= i) & (i <= r["stop"])))
+    out = joined.select("row", F.when(F.col("runs").isNotNull(), kept).alias("left"))
+    left = F.when(F.col("left").isNotNull(), F.array_join("left", "\n")).otherwise(text)
+    gone = F.when(F.col("left").isNotNull(), (F.size(lines) - F.size("left")).cast("long")).otherwise(F.lit(0).cast("long"))
+    made = {"text": left} | ({n_chars: F.length(left).cast(docs.schema[n_chars].dataType)} if n_chars else {}) | ({"removed_lines": gone} if report else {})
+    names = [c for c in docs.columns if c not in made or c in ("text", n_chars)]
+    return out.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in names), *([gone.alias("removed_lines")] if report else []))

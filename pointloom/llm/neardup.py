@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pointloom.llm.common import WordIds, as_bytes, batches, kept, mix64, packed, shingle_set, staged
+from pointloom.llm.common import WordIds, as_bytes, batches, discard, give_back, kept, mix64, packed, shingle_set, staged
 from pointloom.llm.components import components
 
 #: Hashes in a group, and groups in each of the two collections. A pair of similarity s shares a table if it agrees on a whole
 #: group of either collection: at 0.8 it is missed with probability 2 * (1 - 0.8**3)**12 = 0.0004; 72 hashes make 144 tables
 #: of six hashes each, where plain banding takes 864.
 GROUP, GROUPS = 3, 12
-#: Of a pair's 72 minima so many must agree in their low 8 bits for it to be looked at: at 0.8, 57.7 do, with a deviation of 3.4.
-AGREE = 46
+#: Of a pair's 72 minima so many must agree in their low 8 bits for it to be looked at: at 0.8, 57.7 do, with a deviation of 3.4,
+#: and fewer than 42 do with probability 0.000006.
+AGREE = 42
 #: Members that one verification task run holds against its representative.
 RUN = 2000
 #: Rows of one table, and documents of one family, that a task holds against as many others.
 TABLE_BLOCK, FAMILY_BLOCK = 4000, 800
-#: Bits of the filter by which texts are fetched: one megabyte.
-FILTER_BITS = 1 << 23
+#: Bits for each id, and at most, of the filter by which texts are fetched: 16 megabytes.
+FILTER_PER_ID, FILTER_BITS = 16, 1 << 27
+#: Stands for a null id where texts are looked up, which goes by the text's hash as well.
+NO_ID = -(1 << 62)
+
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -52,11 +56,12 @@ def words_hash(data: bytes) -> np.ndarray:
     return kept("words", WordIds).array(data.lower().split())
 
 
-SUMMARY = "doc_id long, n_shingles long, h1 long, h2 long, keys binary, sig binary"
+SUMMARY = "doc_id long, th long, n_shingles long, h1 long, h2 long, keys binary, sig binary"
 
 
 def summaries(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """One row per document: the size of its set, a 128-bit hash of the set, its group keys, and its minima's low bytes."""
+    """One row per document: a hash of its text, the size of its set, a 128-bit hash of the set, its group keys, and its minima's
+    low bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, rows=2048, megabytes=8):
@@ -74,10 +79,10 @@ def summaries(docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
                 mins = minhashes(flat, offsets, 2 * GROUP * GROUPS)
                 for i, key, sig in zip(full.tolist(), packed(group_keys(mins)), packed(mins.astype(np.uint8)), strict=True):
                     keys[i], sigs[i] = key, sig
-            cols = [batch.column("doc_id"), pa.array(sizes), *(pa.array(hashes[:, k].astype(np.int64)) for k in range(2)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+            cols = [batch.column("doc_id"), batch.column("th"), pa.array(sizes), *(pa.array(hashes[:, k].astype(np.int64)) for k in range(2)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SUMMARY.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text).alias("text")).mapInArrow(run, SUMMARY)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(as_bytes(text)).alias("th"), as_bytes(text).alias("text")).mapInArrow(run, SUMMARY)
 
 
 def table_rows(reps: DataFrame) -> DataFrame:
@@ -92,10 +97,32 @@ def table_rows(reps: DataFrame) -> DataFrame:
                 at = np.arange(GROUPS * GROUPS, dtype=np.uint64).reshape(GROUPS, GROUPS)
                 tensor = mix64(keys[:, :GROUPS, None] * np.uint64(3) + keys[:, None, GROUPS:] + at * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(tensor.reshape(-1).astype(np.int64)), pa.array(np.repeat(ids, GROUPS * GROUPS))], ["key", "id"])
+        give_back()
 
     return reps.select("id", "keys").mapInArrow(run, "key long, id long")
 
 
+def shared_tables(tables: DataFrame) -> DataFrame:
+    """(key, a, b) for each class b of a table but its least, a. Rows stream by in order, so a table of any size is no burden."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            key, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            first = np.concatenate(([True], key[1:] != key[:-1]))
+            least = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
+            if last is not None and last[0] == key[0]:  # the table began in the batch before
+                first[0] = False
+                least[: len(first) if first.sum() == 0 else int(first.argmax())] = last[1]
+            last = key[-1], least[-1]
+            rows = np.flatnonzero(least != ids)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (key, least, ids)], ["key", "a", "b"])
+
+    return tables.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "key long, a long, b long")
+
+
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
@@ -103,7 +130,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and signatures don't rule out."""
     for c in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), c)
+        pairs = joined(pairs, classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")), c)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -115,21 +142,33 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-class Forest:
-    """Disjoint sets of numbered things."""
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join: its sides stay on the executors, and adaptive execution splits a hot key."""
+    return left.join(right.hint("merge"), on, how)
+
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def linked_pairs(ids: np.ndarray, label: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the rows' links between what label sets apart; near(i, rows) are those of rows that i is linked with.
+
+    What is joined is relabelled, and rows of one label aren't held against each other; so rows that hang together cost little
+    more than one look at each."""
+    found, label = [], label.copy()
+    for i in range(len(ids) - 1):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(rest):
+            if (label == label[i]).all():
+                break
+            continue
+        got = near(i, rest)
+        if len(got):
+            labels, first = np.unique(label[got], return_index=True)
+            found += [(int(ids[i]), int(ids[j])) for j in got[first].tolist()]
+            label[np.isin(label, labels)] = label[i]
+    return found
 
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
 
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
 
 
 def _groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -153,68 +192,64 @@ def _groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _in_blocks(rows: DataFrame, group: str, block: Column) -> DataFrame:
-    """Each row once for each two blocks of its group of which its own is one: adds x <= y, the two, and mine."""
-    named = rows.withColumn("mine", block)
-    every = named.select(group, "mine").distinct().groupBy(group).agg(F.collect_set("mine").alias("blocks"))
-    paired = named.join(every, group).select("*", F.explode("blocks").alias("other")).drop("blocks")
-    return paired.select("*", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).drop("other")
+def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows (group, id, component, ...) whose group has several components, dealt out so that each two rows of other components
+    meet: a row comes once for each two blocks of its group of which its own is one, named x <= y, its own being mine.
+
+    Small components share blocks of about size rows. One of more rows has blocks of its own, which aren't held against each
+    other; so its rows are copied as often as the others of the group have blocks."""
+    by, each = Window.partitionBy(group), Window.partitionBy(group, "component")
+    counted = rows.withColumn("c", F.count("*").over(each))
+    small = F.when(F.col("c") < size, 1).otherwise(0)
+    counted = counted.withColumns({"lo": F.min("component").over(by), "hi": F.max("component").over(by), "parts": F.greatest(F.lit(1), F.ceil(F.sum(small).over(by) / size)), "all": F.count("*").over(by)})
+    placed = counted.where("lo < hi")
+    own = F.format_string("%d/%d", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / size)))
+    names = [*rows.columns, "x", "y"]
+    whole = placed.where(F.col("all") <= size).withColumns({"x": F.lit(""), "y": F.lit("")}).select(names)
+    named = placed.where(F.col("all") > size).withColumn("mine", F.when(F.col("c") < size, F.format_string("/%d", F.pmod(F.xxhash64("component"), "parts"))).otherwise(own))
+    every = named.groupBy(group).agg(F.collect_set("mine").alias("blocks"))
+    one = lambda c: F.substring_index(c, "/", 1)
+    paired = joined(named, every, group).select("*", F.explode("blocks").alias("other")).where((one("mine") != one("other")) | (one("mine") == ""))
+    return whole.unionByName(paired.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select(names))
 
 
 def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join, in each table, what its near pairs across components join; rows (key, id, component, n, sig).
 
-    Pairs are compared within a task and only a spanning forest is sent on, so what comes out is linear in the rows. Tables of
-    over TABLE_BLOCK rows are compared block by block."""
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / TABLE_BLOCK).alias("parts"))
-    placed = rows.join(counts, "key")
-    block = F.pmod(F.xxhash64("id"), "parts")
-    small = placed.where("parts = 1").select(*rows.columns, F.lit(0).cast("long").alias("mine"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    large = _in_blocks(placed.where("parts > 1"), "key", block).select(*rows.columns, "mine", "x", "y")
-    dealt = small.unionByName(large).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
+    Pairs are compared within a task and only a spanning forest is sent on, so what comes out is linear in the rows."""
+    dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(it, ["key", "x", "y"]):
-            ids, component, n, mine = (table.column(c).to_numpy() for c in ("id", "component", "n", "mine"))
-            if component.min() == component.max():
-                continue
+            ids, component, n = (table.column(c).to_numpy() for c in ("id", "component", "n"))
             sig = _signatures(table.column("sig").combine_chunks())
-            forest, found = Forest(len(ids)), []
-            for i in range(len(ids) - 1):
-                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                if len(rest):
-                    near = rest[(sig[rest] == sig[i]).sum(axis=1) >= AGREE]
-                    found += [(ids[i], ids[j]) for j in near.tolist() if forest.join(i, j)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
+                return rest[(sig[rest] == sig[i]).sum(axis=1) >= AGREE]
+
+            if found := linked_pairs(ids, component, near):
+                yield _pair_batch(found)
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(a, b): links by full sets that join, in each family, all that its links across components join; members (id, component,
-    family).
-
-    Each two blocks of a family that hold several components are a task's work; a component of over FAMILY_BLOCK members has
-    blocks of its own, which aren't held against each other. Sets are compared as bits over the shingles that two of them have."""
-    sizes = members.groupBy("family", "component").agg(F.count("*").alias("c"))
-    small = F.when(F.col("c") < FAMILY_BLOCK, F.col("c")).otherwise(0)
-    totals = sizes.groupBy("family").agg(F.ceil(F.sum(small) / FAMILY_BLOCK).alias("parts"), F.count("*").alias("components")).where("components > 1")
-    placed = members.join(sizes, ["family", "component"]).join(totals, "family")
-    own = F.format_string("%d/%d", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / FAMILY_BLOCK)))
-    block = F.when(F.col("c") < FAMILY_BLOCK, F.format_string("/%d", F.pmod(F.xxhash64("component"), "parts"))).otherwise(own)
-    paired = _in_blocks(placed, "family", block)
-    one = lambda c: F.substring_index(c, "/", 1)
-    paired = paired.where((one("x") != one("y")) | (one("x") == "")).select("family", "x", "y", "mine", "id", "component")
-    rows = texts_of(placed.select("id"), docs, doc_id, text)
-    dealt = paired.join(rows, "id").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
+    """(a, b): links by full sets that join, in each family, all that its links across components join; members (family, id,
+    component, doc_id, th). Each two blocks of a family are a task's work; sets are compared as bits over the shingles that two
+    of them have."""
+    paired = staged(in_blocks(members, "family", FAMILY_BLOCK), "paired")
+    rows = texts_of(paired, docs, doc_id, text)
+    dealt = joined(paired, rows, ["doc_id", "th"]).select("family", "x", "y", "id", "component", "text")
+    dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches(it, megabytes=8), ["family", "x", "y"]):
             ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
-            if component.min() == component.max():
-                continue
-            sets = [shingle_set(words_hash(t), width) for t in table.column("text").to_pylist()]
+            ids, first = np.unique(ids, return_index=True)  # rows may repeat a document
+            component, texts = component[first], table.column("text").take(pa.array(first))
+            sets = [shingle_set(words_hash(t), width) for t in texts.to_pylist()]
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             every, counts = np.unique(np.concatenate(sets), return_counts=True)
             shared = every[counts > 1]
@@ -223,60 +258,56 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int,
                 at = np.searchsorted(shared, s)
                 at = at[(at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == s)] if len(shared) else at[:0]
                 np.bitwise_or.at(bits[k], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-            forest, found = Forest(len(ids)), []
-            for c in np.unique(component):
-                same = np.flatnonzero(component == c).tolist()
-                for j in same[1:]:
-                    forest.join(same[0], j)
-            for i in range(len(ids) - 1):
-                rest = np.flatnonzero((component[i + 1 :] != component[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
-                if len(rest):
-                    common = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
-                    linked = rest[100 * common >= percent * (n[rest] + n[i] - common)]
-                    found += [(ids[i], ids[j]) for j in linked.tolist() if forest.join(i, j)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+            def near(i: int, rest: np.ndarray) -> np.ndarray:
+                rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
+                common = np.bitwise_count(bits[rest] & bits[i]).sum(axis=1, dtype=np.int64)
+                return rest[100 * common >= percent * (n[rest] + n[i] - common)]
+
+            if found := linked_pairs(ids, component, near):
+                yield _pair_batch(found)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, text) of a superset of the rows that ids has: those whose bit in a filter of FILTER_BITS is set. The filter goes to
-    all executors; its size is fixed, so with very many ids it lets all rows through, and joins then shuffle all texts."""
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("at"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("word"))
+def texts_of(wanted: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, th, text), once each, of a superset of the documents that wanted has: those whose bit in a filter is set. The filter
+    goes to all executors. It has FILTER_PER_ID bits for each document wanted but no more than FILTER_BITS; with some ten millions
+    and more of them it fills up, lets all rows through, and joins then shuffle all texts."""
+    place = lambda bits: F.pmod(F.xxhash64("doc_id", "th"), F.lit(bits))
+    size = 1 << min(max(16, (FILTER_PER_ID * wanted.count()).bit_length()), FILTER_BITS.bit_length() - 1)
+    words = wanted.select(place(size).alias("p")).select(F.shiftright("p", 6).alias("at"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("word"))
     got = words.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits = np.zeros(size // 64, np.uint64)
     bits[got.column("at").to_numpy()] = got.column("word").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def wanted(p: pd.Series) -> pd.Series:
-        at = p.fillna(0).to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            at = batch.column("p").to_numpy()
+            yield batch.select(["doc_id", "th", "text"]).filter(pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), as_bytes(text).alias("text"))
-    return rows.where(wanted(place))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(as_bytes(text)).alias("th"), as_bytes(text).alias("text"))
+    return rows.withColumn("p", place(size)).mapInArrow(run, "doc_id long, th long, text binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def verified(pairs: DataFrame, named: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union; named (id, doc_id, th) says where an
+    id's text is.
 
     Texts come to the pairs, not sets. Rows are dealt out by a and a run number, so that a representative with any number of
     members is spread over tasks; a run streams past its representative's set, the one thing that is held."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    runs = counts.select("a", F.ceil(F.col("n") / RUN).cast("int").alias("runs"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    rows = texts_of(ends, docs, doc_id, text)
-    member = pairs.join(runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), F.col("b").alias("id"))
+    runs = pairs.groupBy("a").agg(F.ceil(F.count("*") / RUN).cast("int").alias("runs"))
+    member = joined(pairs, runs, "a").select("a", F.pmod(F.xxhash64("b"), "runs").cast("int").alias("run"), F.col("b").alias("id"))
     head = runs.select("a", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("a").alias("id"))
-    dealt = member.unionByName(head).join(rows, "id").select("a", "run", "id", "text")
+    ends = staged(joined(member.unionByName(head), named, "id"), "ends")
+    dealt = joined(ends, texts_of(ends, docs, doc_id, text), ["doc_id", "th"]).select("a", "run", "id", "text")
     dealt = dealt.repartition("a", "run").sortWithinPartitions("a", "run", (F.col("a") != F.col("id")))
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, base = None, np.empty(0, np.uint64)
         for batch in batches(it, megabytes=8):
-            found: tuple[list[int], list[int]] = ([], [])
+            found: list[tuple[int, int]] = []
             for a, who, data in zip(batch.column("a").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if who == a:
                     if now != a:
@@ -288,45 +319,62 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id
                 both = np.searchsorted(base, mine)
                 common = int((base[np.minimum(both, len(base) - 1)] == mine).sum())
                 if 100 * common >= percent * (len(mine) + len(base) - common):
-                    found[0].append(a)
-                    found[1].append(who)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+                    found.append((a, who))
+            yield _pair_batch(found)
 
-    return dealt.mapInArrow(check, "a long, b long")
+    edges = staged(dealt.mapInArrow(check, "a long, b long").distinct(), "links")
+    discard(ends)
+    return edges
+
+
+def groups(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, th, n_shingles, winner) for each row of docs: th is a hash of its text, winner (no_id, doc_id, th) the first row, by id
+    (null ids last) and th, of all that links reach. How near_duplicates finds them is said there."""
+    made = staged(summaries(docs, width, doc_id, text), "summaries")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    grouped = made.where("n_shingles > 0").groupBy("h1", "h2")
+    classes = grouped.agg(F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.min(own).alias("first"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    named = classes.select("id", F.coalesce("first.doc_id", F.lit(NO_ID)).alias("doc_id"), "first.th")
+    shared = staged(shared_tables(table_rows(classes)), "tables")
+    pairs = staged(likely(shared.select("a", "b").distinct(), classes, percent), "pairs")
+    edges = verified(pairs, named, docs, width, percent, doc_id, text)
+    found = components(edges)
+    # tables where classes of several components meet
+    member = shared.select("key", F.col("b").alias("id")).unionAll(shared.select("key", F.col("a").alias("id")).distinct())
+    placed = joined(member, found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    rows = joined(in_blocks(placed, "key", TABLE_BLOCK), classes.select("id", "n", "sig"), "id")
+    near = staged(near_pairs(rows, percent).distinct(), "near")
+    discard(shared, pairs)
+    if not near.isEmpty():
+        families = components(near)
+        members = joined(families.withColumnRenamed("component", "family"), found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
+        more = staged(family_links(joined(members, named, "id"), docs, width, percent, doc_id, text), "links")
+        if not more.isEmpty():
+            whole = components(edges.unionByName(more))
+            discard(found)
+            found = whole
+        discard(families, more)
+    discard(near, edges)
+    labelled = joined(classes.select("h1", "h2", "id", "first"), found, "id", "left")
+    winners = labelled.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    winner = joined(labelled, winners, "component", "left").select("h1", "h2", F.coalesce("least", "first").alias("winner"))
+    names = ["doc_id", "th", "n_shingles", "winner"]
+    return joined(made.where("n_shingles > 0"), winner, ["h1", "h2"]).select(names).unionByName(made.where("n_shingles = 0").withColumn("winner", own).select(names))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per input row, for links of similarity percent or more.
 
     Words are runs of non-space bytes with A-Z in lower case; with fewer words than width the whole sequence is one shingle.
-    Null and empty texts and those without words have no shingles, are linked with nothing, and are kept. Rows with one id
-    count as one node, those with a null id as nodes of their own (component_id null, kept). An empty table gives none.
-
-    Equal sets are one class, found by a 128-bit hash of the set, and go on as their least id; so copies cost one row each.
-    Classes that share a table are candidates. First each is held against the least class of the table. What then is in
-    several components of one table and near by signature makes families, and in a family all pairs across components are
-    compared. All links are by full sets. No bucket, group or partner is capped."""
-    made = staged(summaries(docs, width, doc_id, text), "summaries")
-    grouped = made.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-    classes = staged(grouped.agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n")), "classes")
-    tables = table_rows(classes)
-    ends = tables.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    shared = staged(tables.join(ends, "key"), "tables")
-    pairs = staged(likely(shared.where("id <> a").select("a", F.col("id").alias("b")).distinct(), classes, percent), "pairs")
-    edges = staged(verified(pairs, docs, width, percent, doc_id, text), "links")
-    found = staged(components(edges), "components")
-    # tables where classes of several components meet
-    placed = shared.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = placed.join(open_keys, "key").join(classes.select("id", "n", "sig"), "id")
-    near = staged(near_pairs(rest, percent).distinct(), "near")
-    families = components(near).withColumnRenamed("component", "family")
-    members = families.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "family")
-    more = staged(family_links(staged(members, "families"), docs, width, percent, doc_id, text), "links")
-    if not more.isEmpty():
-        found = staged(components(edges.unionByName(more)), "components")
-    member = made.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2")
-    member = member.join(classes.select("h1", "h2", "id"), ["h1", "h2"]).join(found, "id", "left")
-    placed = member.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    alone = made.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    Null and empty texts and those without words have no shingles, are linked with nothing, and are kept. Each row is a document
+    of its own, also where ids repeat: of rows (3, A), (5, A), (5, B) the last is apart from the others. component_id is the least id
+    reached; rows with a null id are linked like others, and theirs is null if they reach no id. kept says whether a row's id is
+    component_id. An empty table gives no rows.
+
+    Equal sets are one class, found by a 128-bit hash of the set, so copies cost one row each. Classes that share a table are
+    candidates. First each is held against the first class of the table. What then is in several components of one table and near
+    by signature makes families, and in a family all pairs across components are compared. All links are by full sets. No bucket,
+    group or partner is capped."""
+    found = groups(docs, width, percent, doc_id, text).withColumn("component_id", F.col("winner.doc_id"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

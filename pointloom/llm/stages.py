@@ -9,39 +9,51 @@ from pointloom.llm.queries import WORD_TOKENIZER, vocabulary
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least id. Five-word shingles, 0.8."""
-    from pointloom.llm.neardup import near_duplicates
+    """One document of each group of near duplicates stays: the one with the least id, and of several with that id the one whose text
+    hashes least. Five-word shingles, 0.8.
 
-    gone = near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    Null ids come after all others. Rows equal in id and text are one document: all of them stay or go. Rows of one id with other
+    texts are documents of their own. Null and empty texts and those without words stay."""
+    from pointloom.llm.common import as_bytes
+    from pointloom.llm.neardup import groups
+
+    found = groups(docs, width=5, percent=80)
+    apart = ~(F.col("doc_id").eqNullSafe(F.col("winner.doc_id")) & (F.col("th") == F.col("winner.th")))
+    gone = found.where(apart).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(as_bytes(docs["text"])) == gone["gone_th"])
+    return docs.join(gone, same, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids, one row per piece."""
+    """Token sequences of at most 2048 ids, one row per piece. Null and empty texts are the end mark alone; repeated rows and null ids
+    are packed like others."""
     from pointloom.llm.packing import pack
 
     return pack(docs, vocabulary(WORD_TOKENIZER), capacity=2048)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; it learns from the labels of sf_dir and the texts of docs."""
-    from pointloom.llm.toxicity import fit, with_score
+    """Documents that the toxicity model rejects go; it learns from the labels of sf_dir and the texts of docs.
+
+    Each row is judged by its own text, whatever its id; null and empty texts have no terms and stay, as all rows do where labels of
+    one kind are missing."""
+    from pointloom.llm.toxicity import fit, without_toxic
 
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return with_score(docs, model, "_toxic_score").where(F.col("_toxic_score") < 0.5).drop("_toxic_score")
+    return without_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of lines are taken out of texts; n_chars follows the text. Rows stay."""
+    """Repeated passages of lines are taken out of texts; n_chars follows the text. Rows stay, those with null, empty and emptied
+    texts too; rows equal in id and text keep or lose the same lines."""
     from pointloom.llm.linededup import dedup_lines
 
-    out = dedup_lines(docs).drop("removed_lines")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return dedup_lines(docs, report=False, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a near copy of a benchmark item go, and those that are one with some words cut."""
-    from pointloom.llm.decontaminate import leaks
+    """Documents that hold a near copy of a benchmark item go, and those that are one with some words cut.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay; without items all rows stay."""
+    from pointloom.llm.decontaminate import without_leaks
 
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), shorter=True).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["leak_id"], "left_anti")
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pointloom.llm.common import batches, crc_mod, kept, staged
 
@@ -264,8 +266,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5,
 
 def with_score(docs: DataFrame, model: Model | None, column: str = "score", text: str = "text") -> DataFrame:
     """docs and their scores; without a model all are 0."""
-    import uuid
-
     if model is None:
         return docs.withColumn(column, F.lit(0.0))
     key = uuid.uuid4().hex
@@ -276,9 +276,21 @@ def with_score(docs: DataFrame, model: Model | None, column: str = "score", text
             scores = own.score([t or "" for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    from pyspark.sql.types import DoubleType, StructType
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text scores less than 0.5; without a model all."""
+    if model is None:
+        return docs
+    key = uuid.uuid4().hex
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(f"toxicity {key}", lambda: model)
+        for batch in batches(it, column=text):
+            yield batch.filter(pa.array(own.score([t or "" for t in batch.column(text).to_pylist()]) < 0.5))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType().add(column, DoubleType()).fields]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5) -> DataFrame:

@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.llm import components as components_of
 from pointloom.llm import decontaminate, html, language, linededup, lmscore, neardup, packing, quality, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -425,6 +426,7 @@ def test_components_equal_brute_force(make_docs):
 def test_links_between_copies_that_never_represent(make_docs, monkeypatch, blocks):
     """Many near copies of one text, with pairs around the threshold: the blockwise search across components is needed."""
     monkeypatch.setattr(neardup, "RUN", 5)
+    monkeypatch.setattr(components_of, "ONE_TASK", 1_000_000 if blocks[0] > 7 else 0)
     monkeypatch.setattr(neardup, "TABLE_BLOCK", blocks[0])
     monkeypatch.setattr(neardup, "FAMILY_BLOCK", blocks[1])
     base = words(100, 3)
@@ -434,14 +436,39 @@ def test_links_between_copies_that_never_represent(make_docs, monkeypatch, block
     assert got.component_id.tolist() == want
 
 
-def test_components_of_a_chain(spark):
-    from pointloom.llm.components import components
-
+@pytest.mark.parametrize("one_task", [0, 1_000_000])
+def test_components_of_a_chain(spark, one_task):
     n = 300
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)], "a long, b long")
-    got = {r["id"]: r["component"] for r in components(edges).collect()}
+    got = {r["id"]: r["component"] for r in components_of.components(edges, one_task=one_task).collect()}
     assert all(got[k] == 0 for k in range(n + 1)) and got[1001] == got[1000] == 1000 and len(got) == n + 3
-    assert components(edges.where("a > 5000")).count() == 0
+    assert components_of.components(edges.where("a > 5000"), one_task=one_task).count() == 0
+
+
+def test_forest_equals_a_walk():
+    rng = np.random.default_rng(2)
+    for n, m in ((50, 30), (200, 190), (1000, 3000)):
+        u, v = rng.integers(0, n, (2, m))
+        near = defaultdict(set)
+        for x, y in zip(u.tolist(), v.tolist()):
+            near[x].add(y)
+            near[y].add(x)
+        least: dict[int, int] = {}
+        for start in sorted(near):
+            todo = [start]
+            while todo:
+                if (x := todo.pop()) not in least:
+                    least[x] = start
+                    todo += near[x]
+        nodes, label = components_of.forest(u, v)
+        assert dict(zip(nodes.tolist(), label.tolist())) == least
+
+
+def test_rows_with_one_id_are_apart(make_docs):
+    a, b = " ".join(words(50, 1)), " ".join(words(50, 2))
+    got = neardup.near_duplicates(make_docs((3, a), (5, a), (5, b), (None, a), (None, b + " c"), (None, "q r s"), (None, None))).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is not None) == [(3, 3, True), (5, 3, False), (5, 5, True)]
+    assert sorted(((r["component_id"], r["kept"]) for r in got if r["doc_id"] is None), key=str) == [(3, False), (5, False), (None, True), (None, True)]
 
 
 # --- secrets

@@ -60,6 +60,47 @@ def test_shortened_copies_of_items_go(spark, make_docs):
     assert ids(stages.decontaminate(spark, make_docs((0, words(80, 1)), (1, item.rsplit(" ", 2)[0])), SF)) == [0]
 
 
+def brute_survivors(rows, width=5):
+    """What near-dedup leaves of (doc_id, text) rows, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = tuple((t or "").lower().split())
+        sets.append({w[i : i + width] for i in range(max(1, len(w) - width + 1))} if w else set())
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                up[root(i)] = root(j)
+    order = lambda k: (rows[k][0] is None, rows[k][0] or 0)
+    best = {}
+    for k in range(len(rows)):
+        best[root(k)] = min(best.get(root(k), k), k, key=order)
+    return sorted((rows[k] for k in best.values()), key=str)
+
+
+def test_near_dedup_equals_brute_force(spark, make_docs):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = [r for r in brute_survivors(rows) if (r[1] or "").split()] + [r for r in rows if not (r[1] or "").split()]
+    assert sorted(map(tuple, stages.near_dedup(spark, docs, SF).select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+
+
+def test_repeated_and_null_ids(spark, make_docs):
+    """Unique texts stay whatever their ids; null ids are dealt with like others."""
+    a, b, c = words(80, 1), words(80, 2), words(80, 3)
+    left = stages.near_dedup(spark, make_docs((3, a), (5, a), (5, b), (None, b), (None, c), (7, c + " end")), SF)
+    assert sorted(map(tuple, left.select("doc_id", "text").collect())) == [(3, a), (5, b), (7, c + " end")]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    left = stages.decontaminate(spark, make_docs((1, item), (1, a), (None, f"{b} {item}"), (None, c), (2, None), (None, "")), SF)
+    assert sorted(map(tuple, left.select("doc_id", "text").collect()), key=str) == sorted([(1, a), (None, c), (2, None), (None, "")], key=str)
+
+
 def test_extra_columns_and_repeated_rows_pass(spark, make_docs):
     docs = make_docs((0, words(80, 1)), (0, words(80, 1)), (1, words(70, 2)), extra=True)
     for _, stage in corpus_pipeline.STAGES[:-1]:
