@@ -356,8 +356,8 @@ def groups(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", te
             found = whole
         discard(families, more)
     discard(near, edges)
-    labelled = joined(classes.select("h1", "h2", "id", "first"), found, "id", "left")
-    winners = labelled.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    labelled = joined(classes.select("h1", "h2", "id", "first"), found, "id", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "id"))
+    winners = labelled.where("linked").groupBy("component").agg(F.min("first").alias("least"))
     winner = joined(labelled, winners, "component", "left").select("h1", "h2", F.coalesce("least", "first").alias("winner"))
     names = ["doc_id", "th", "n_shingles", "winner"]
     return joined(made.where("n_shingles > 0"), winner, ["h1", "h2"]).select(names).unionByName(made.where("n_shingles = 0").withColumn("winner", own).select(names))
