@@ -23,7 +23,8 @@ class ChunkIds(dict):
     """A run of non-space bytes -> its token ids as little-endian unsigned 32-bit integers.
 
     The tokenizer never merges over white space, nor over the edge between letters and a mark after them, and lowers case;
-    so a text's ids are those of its runs, end to end, and a run's are those of its parts."""
+    so a text's ids are those of its runs, end to end, and a run's are those of its parts. Strings of special tokens have no
+    white space, so they too are found within a run."""
 
     LIMIT = 500_000
 
@@ -32,14 +33,13 @@ class ChunkIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters only
             low = chunk.lower()
             value = np.asarray([t.id for t in self.model.tokenize(low.decode())], "<u4").tobytes() if low == chunk else self[low]
-        elif len(chunk) > 1 and chunk[-1:] in b",." and chunk[:-1].decode("utf-8", "replace").isalpha():
+        elif len(chunk) > 1 and chunk[-1:] in b",." and self.letters(chunk[:-1].decode("utf-8", "replace")):
             value = self[chunk[:-1]] + self[chunk[-1:]]
         else:
             ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -48,6 +48,11 @@ class ChunkIds(dict):
             self[chunk] = value
         return value
 
+    @staticmethod
+    def letters(word: str) -> bool:
+        """Whether the tokenizer sees letters alone: Latin ones that stay so in lower case, as not all do."""
+        return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
+
     def text(self, data: bytes) -> bytes:
         if len(self) > self.LIMIT:
             self.clear()
@@ -123,12 +128,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str
 
     Null and empty texts are the single id 0. Repeated rows are packed as often as they occur. A null doc_id stays null.
     An empty table gives no rows. Pieces of full length are sequences by themselves. The others are dealt out evenly by a
-    hash of (doc_id, piece) and each task packs its share by sum_of_squares; a share's size doesn't depend on the input's,
+    hash of all they are and their place in the staged table, and each task packs its share by sum_of_squares; a share's size doesn't depend on the input's,
     so the open bins left are the same small part of it. Only lengths and checksums are shuffled, never ids."""
-    pieces = staged(tokenized(docs, tokenizer_path, capacity, doc_id, text), "pieces")
+    pieces = staged(tokenized(docs, tokenizer_path, capacity, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-part.count() // group_pieces))
-    mixed = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
+    mixed = F.xxhash64("doc_id", "piece", "length", "ids_crc32", "row")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in it if b.num_rows]
@@ -139,13 +144,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, doc_id: str
         for g in np.unique(share):  # hash partitions may hold several shares, or none
             table = whole.filter(pa.array(share == g))
             where, offset, _ = pack_group(table.column("length").to_numpy(), table.column("key").to_numpy(), capacity)
-            table = table.drop_columns(["share", "key"])
+            table = table.drop_columns(["share", "key", "row"])
             table = table.append_column("sequence_id", pa.array(where * np.int64(2 * groups) + 2 * int(g), pa.int64()))
             yield from table.append_column("offset", pa.array(offset, pa.int64())).combine_chunks().to_batches()
 
     dealt = part.withColumn("key", mixed).withColumn("share", F.pmod("key", F.lit(groups)).cast("int")).repartition(groups, "share")
     # full pieces have odd numbers, by their place in the staged table, and sequences of others even ones
-    whole = pieces.where(F.col("length") >= capacity).withColumns(
-        {"sequence_id": F.shiftleft(F.monotonically_increasing_id(), 1).bitwiseOR(F.lit(1).cast("long")), "offset": F.lit(0).cast("long")}
-    )
-    return dealt.mapInArrow(run, PACKED).unionByName(whole)
+    whole = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": F.shiftleft("row", 1).bitwiseOR(F.lit(1).cast("long")), "offset": F.lit(0).cast("long")})
+    return dealt.mapInArrow(run, PACKED).unionByName(whole.drop("row"))

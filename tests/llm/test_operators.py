@@ -597,8 +597,7 @@ def test_packing_is_whole(make_docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [*EDGES, "It's 42 o'clock,don't U.S.A. ÀÉ İstanbul ﬁ <|endoftext|>  x y é 'S 'LL", " ".join(words(5000, 4)), "a", "a"]
+    texts = [*EDGES, "İ, İ. hello <|startoftext|> world x<|endoftext|>,", "It's 42 o'clock,don't U.S.A. ÀÉ İstanbul ﬁ <|endoftext|>  x y é 'S 'LL", " ".join(words(5000, 4)), "a", "a"]
     got = packing.pack(make_docs(*texts, extra=True), path, 2048).toPandas()
     for i, text in enumerate(texts):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -619,6 +618,17 @@ def test_chunks_equal_the_tokenizer(documents):
         assert np.frombuffer(chunks.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_random_texts_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, chunks, rng = Tokenizer.from_file(path), packing.ChunkIds(path), random.Random(3)
+    parts = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "ẞ", "क़", "ﬁ", "e\u0301", "\u0307", "Σ", "ς", "'s", "'LL", ",", ".", "12", "é", "ñ", " ", "\n", "\x0b", "\x85", "\u2003", "the", "Word", "日本", "😀", "\u200b", "\x00", "-"]
+    for k in range(6000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(rng.randrange(1, 9)))
+        assert np.frombuffer(chunks.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, (k, text)
+
+
 def test_sum_of_squares_takes_the_least_sum():
     rng = np.random.default_rng(0)
     lengths, capacity = rng.integers(1, 21, 300), 20
