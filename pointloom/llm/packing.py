@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,6 +18,11 @@ PACKED = PIECES + ", sequence_id long, offset long"
 #: Pieces that one packing task gets: enough for the open bins it leaves to be few, and few enough to hold.
 GROUP_PIECES = 40_000
 SEPARATOR = b"\x00\x00\x00\x00"
+#: Marks that the tokenizer parts from the letters before them; an apostrophe may belong to what follows.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARK_BYTES = MARKS.encode()
+#: Byte-level vocabularies write a byte as the character of that number if it is printable, and else as the next one from 256 on.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class ChunkIds(dict):
@@ -36,14 +42,22 @@ class ChunkIds(dict):
         self.model = self.tokenizer.model
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if chunk.isalpha():  # ASCII letters only
-            low = chunk.lower()
-            value = np.asarray([t.id for t in self.model.tokenize(low.decode())], "<u4").tobytes() if low == chunk else self[low]
-        elif len(chunk) > 1 and chunk[-1:] in b",." and self.letters(chunk[:-1].decode("utf-8", "replace")):
-            value = self[chunk[:-1]] + self[chunk[-1:]]
+        # words with a capital or a mark aren't remembered, as they would be most of what is; ASCII ones are quick to take apart
+        if chunk.isalpha() and (small := chunk.lower()) != chunk:
+            return self[small]
+        if chunk[-1:] in MARK_BYTES and chunk[:-1].isalpha():
+            return self[chunk[:-1].lower()] + self[chunk[-1:]]
+        word = chunk.decode("utf-8", "replace")
+        body = word.rstrip(MARKS)
+        if body and self.letters(body):
+            low = body.lower()
+            if low != word:
+                marks = chunk[len(body.encode()) :]
+                return self[low.encode()] + self[marks] if marks else self[low.encode()]
+            ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))]
         else:
-            ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-            value = np.asarray(ids, "<u4").tobytes()
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        value = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= 64:
             self[chunk] = value
         return value
