@@ -247,6 +247,40 @@ def test_broken_and_strange_pages():
     assert html.main_text('<article><p title="a > b">quoted</p></article>') == "quoted"
 
 
+def test_attributes_are_read_as_html_does():
+    text = "It is said that the dog and the cat don't like it, and that is all that there is to say."
+    for tag in ("<p title=don't>", "<p title=don't data-x='it is'>", '<p title="a > b" class=x>', "<p title = 'x>y'>", "<p a=b=c'd>", "<p ' \" x>"):
+        assert html.main_text(f"<article>{tag}{text}</p><p>{text}</p></article>") == f"{text}\n\n{text}", tag
+    linked = "<div><a href=http://x.com/>one of the many links that are in the list of all of the pages that we have</a></div>"
+    assert html.main_text(f"<body>{linked}<p>{text * 3}</p></body>") == text * 3
+    assert html.main_text(f"<article><a name=top /><p>{text}</p></article>") == text
+
+
+@pytest.mark.parametrize("sentence", ["今日は天気がとても良かったので、友達と一緒に公園へ行って、昼ご飯を食べながら長い時間話をしました。", "Сегодня погода была очень хорошей, поэтому мы с друзьями пошли в парк и долго разговаривали. "])
+def test_languages_without_known_stop_words(sentence):
+    """Pages in other languages, with and without spaces, in div and p, come out whole; link lists don't."""
+    links = "<ul>" + "".join(f"<li><a href='/{k}'>{sentence[:8]}</a></li>" for k in range(8)) + "</ul>"
+    body = [sentence * 5, sentence * 4, sentence * 6]
+    page = f"<body><div>{links}</div><div id=content><h1>{sentence[:12]}</h1>" + "".join(f"<p>{b}</p>" for b in body) + f"</div><div>{links}</div></body>"
+    assert html.main_text(page).split("\n\n")[-3:] == [b.strip() for b in body] and "\n\n".join(body[:1]).strip() in html.main_text(page)
+
+
+@pytest.mark.parametrize("unit", ["<b>x", "<object>x ", "x</b></i>", "<div>x", "<p>x<i>", "<a href=x>x", "<li><td>x", "<!-- x", "<p a='x ", "&amp;&", "<svg>x", "<article></b><i>"])
+def test_broken_markup_takes_time_in_proportion(unit):
+    import time
+
+    took = []
+    for n in (1 << 17, 1 << 19):
+        page = unit * (n // len(unit))
+        best = 9e9
+        for _ in range(2):
+            began = time.process_time()
+            html.main_text(page)
+            best = min(best, time.process_time() - began)
+        took.append(best)
+    assert took[1] < 10 * took[0] + 0.2, took
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE % f"<article>{BODY}</article>", "x"), (2, None, None, "y"), (2, None, None, "y"), (None, "v", "<p>", "z")], "page_id long, url string, html string, text string")
     got = html.extract(pages).toPandas()
