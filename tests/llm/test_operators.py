@@ -546,6 +546,50 @@ def test_random_strings_are_added_and_words_are_not(spark, make_docs):
     assert got[0]["spans"] == "markov:6:38" and got[1]["n_markov"] == 0
 
 
+def test_what_the_models_find(spark):
+    """Recall on planted random strings that no pattern of the base finds, and false finds among the words of whole texts."""
+    rng = random.Random(4)
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = {"base62": plain + plain.upper() + "0123456789", "base64": plain + plain.upper() + "0123456789+/", "base32": plain.upper() + "234567", "lower": plain + "0123456789"}
+    made = [(k, n, "".join(rng.choice(a) for _ in range(n))) for k, a in alphabets.items() for n in (12, 16, 20, 32, 48) for _ in range(40)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    ratios = secrets.fit(docs, F.coalesce("text", F.lit("")))
+    planted = spark.createDataFrame([(i, f"the value is {w} and so on") for i, (_, _, w) in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(planted, ratios).collect()}
+    found = {(k, n): sum(f"markov:13:{13 + n}" in got[i] for i, (a, m, _) in enumerate(made) if (a, m) == (k, n)) / 40 for k in alphabets for n in (12, 16, 20, 32, 48)}
+    assert min(v for (k, n), v in found.items() if n >= 20) >= 0.9 and min(v for (k, n), v in found.items() if k in ("base62", "base64")) >= 0.9, found
+    names = ["internationalization_of_names", "getElementByIdentifier", "configuration-parameters-of-the-service", "AbstractSingletonFactoryBean", "the/path/to/some/files", "well-known-and-long", "Donaudampfschifffahrtsgesellschaft", "MAX_RETRIES_PER_REQUEST"]
+    clean = spark.createDataFrame([(0, " ".join(names))], "doc_id long, text string")
+    assert secrets.scan(clean, ratios).first()["n_markov"] <= 1
+    words = [w for (t,) in docs.select("text").collect() for w in re.findall(secrets.CANDIDATE, t or "")]
+    added = [t[int(a) : int(b)] for t, x in docs.join(secrets.scan(docs, ratios), "doc_id").select("text", "spans").collect() for k, a, b in (s.split(":") for s in x.split(",") if s) if k == "markov"]
+    assert len(added) < 0.02 * len(words), (len(added), len(words), added[:20])
+
+
+def test_scans_take_time_in_proportion(spark, make_docs):
+    """Texts with very many matches of each kind: twice the text takes about twice the time."""
+    import time
+
+    rng = random.Random(1)
+    units = {
+        "hex": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20)), "assign": lambda: "token=" + "".join(rng.choice("xyzXYZ123") for _ in range(14)),
+        "access": lambda: "AKIA" + "".join(rng.choice("ABC123") for _ in range(16)), "candidate": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(22)),
+    }
+    ratios = [0.1] * (128 * 128)
+    for name, unit in units.items():
+        took = []
+        for n in (6000, 24_000):
+            df = make_docs("é " + " ".join(unit() for _ in range(n)))
+            best = 9e9
+            for _ in range(2):
+                began = time.perf_counter()
+                row = secrets.scan(df, ratios).first()
+                best = min(best, time.perf_counter() - began)
+            took.append(best)
+            assert row["spans"].count(":") == 2 * sum(row[f"n_{k}"] for k in secrets.KINDS) and sum(row[f"n_{k}"] for k in secrets.KINDS) >= n * 0.9
+        assert took[1] < 9 * took[0] + 1, (name, took)
+
+
 # --- quality
 
 
