@@ -575,7 +575,7 @@ def test_scans_take_time_in_proportion(spark, make_docs):
         "hex": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20)), "assign": lambda: "token=" + "".join(rng.choice("xyzXYZ123") for _ in range(14)),
         "access": lambda: "AKIA" + "".join(rng.choice("ABC123") for _ in range(16)), "candidate": lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(22)),
     }
-    ratios = [0.1] * (128 * 128)
+    ratios = [1.0] * (128 * 128)
     for name, unit in units.items():
         took = []
         for n in (6000, 24_000):
