@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,10 +19,10 @@ from pointloom.llm.common import batches, crc_mod, kept, staged
 
 #: Labelled rows that the model is fitted on, at most: those whose ids hash lowest.
 SAMPLE_ROWS = 20_000
-#: Lexicon entries at most, words in them from this length on, and lengths of stems (entries that match as beginnings).
-MAX_ENTRIES, MIN_LETTERS, STEMS = 4096, 4, (4, 5, 6, 7)
-#: Documents with a term that make it an entry, and its least log odds: words, stems.
-SUPPORT, WORD_ODDS, STEM_ODDS = 5, 2.5, 3.5
+#: Letters of a lexicon's words at least.
+MIN_LETTERS = 4
+#: Documents with a word that make it an entry, and its least log odds.
+SUPPORT, WORD_ODDS = 5, 2.5
 #: Different words that must stand before a term in toxic documents (of 64 classes). Near copies of one document, all with one
 #: label, would else make entries of its rare words.
 CONTEXTS, CONTEXT_SHARE = 4, 0.3
@@ -32,9 +33,9 @@ WINDOW = 8
 #: Words of direct address, and words that report what others say.
 ADDRESS = frozenset("you your youre yours u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú tus ti usted ustedes eres".split())
 REPORT = frozenset("said says say called calls quote quoted quotes word term wrote writes sagte sagt nannte wort zitat dit disait appelé mot cite dijo dice llamó palabra cita".split())
-QUOTES = "\"“”„«»‹›'‘’"
-
 TOKEN = re.compile(r"[^\W_]+")
+#: A line's passages in quotation marks; an apostrophe opens one only where no letter stands before, and ends one where none follows.
+QUOTED = re.compile(r"""\"[^\"\n]*\"|[“„][^“”\n]*[“”]|«[^«»\n]*»|»[^«»\n]*«|‹[^‹›\n]*›|(?<!\w)['‘‚](?=\w)[^\n]*?(?<=\S)['’‘](?!\w)""")
 
 
 def max_edits(length: int) -> int:
@@ -74,16 +75,16 @@ class Automaton:
 
 @dataclass
 class Lexicon:
-    """Entries with weights. Words match with max_edits errors by their length, stems match the beginnings of words."""
+    """Entries with weights; words match them with max_edits errors by their length."""
 
     words: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.trie: dict = {}
         self.heads: dict[int, set[str]] = {}
         self.tails: dict[int, set[str]] = {}
-        self.middles: dict[int, set[str]] = {}
+        self.middles: dict[tuple[int, int], set[str]] = {}
+        self.longest = max(map(len, self.words), default=0)
         for word in self.words:
             node = self.trie
             for letter in word:
@@ -95,8 +96,9 @@ class Lexicon:
             parts = [word[a:b] for a, b in zip(cut, cut[1:])]
             self.heads.setdefault(len(parts[0]), set()).add(parts[0])
             self.tails.setdefault(len(parts[-1]), set()).add(parts[-1])
-            for part in parts[1:-1]:
-                self.middles.setdefault(len(part), set()).add(part)
+            for at, part in zip(cut[1:-1], parts[1:-1]):
+                for i in range(max(0, at - k), at + k + 1):  # errors before it move a part by no more than their number
+                    self.middles.setdefault((i, len(part)), set()).add(part)
         self.seen: dict[str, tuple[str, float, int] | None] = {}
 
     def possible(self, word: str) -> bool:
@@ -104,7 +106,7 @@ class Lexicon:
         return (
             any(word[:n] in found for n, found in self.heads.items())
             or any(word[-n:] in found for n, found in self.tails.items())
-            or any(word[i : i + n] in found for n, found in self.middles.items() for i in range(1, len(word) - n))
+            or any(word[i : i + n] in found for (i, n), found in self.middles.items())
         )
 
     def nearest(self, word: str) -> tuple[str, float, int] | None:
@@ -124,13 +126,10 @@ class Lexicon:
         return None if best is None else (best[2], -best[1], best[0])
 
     def match(self, word: str) -> tuple[str, float, int] | None:
-        """(entry, weight, errors) of a word; -1 errors for a stem."""
+        """(entry, weight, errors) of a word."""
         if word in self.words:
             return word, self.words[word], 0
-        for n in STEMS:
-            if word[:n] in self.stems:
-                return word[:n], self.stems[word[:n]], -1
-        if 4 <= len(word) <= 40 and self.possible(word):
+        if 4 <= len(word) <= self.longest + 2 and self.possible(word):
             return self.nearest(word)
         return None
 
@@ -145,25 +144,27 @@ class Lexicon:
 
 def features(lexicon: Lexicon, text: str) -> list[float]:
     """What a text's matches say, each weighed by its window: abuse counts more with direct address and other terms around,
-    less inside quotation marks or after a word that reports speech."""
+    less inside a quoted passage or after a word that reports speech."""
     low = text.lower()
     words = TOKEN.findall(low)
     found = lexicon.hits(words)
     if not found:
-        return [0.0] * 7
+        return [0.0] * 6
     spans = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(low)]
     at = [i for i, (w, _, _) in enumerate(spans) if w in found]
-    exact = near = stem = quoted = abuse = heaviest = 0.0
+    passages = [m.span() for m in QUOTED.finditer(low)]
+    begins = [a for a, _ in passages]
+    exact = near = quoted = abuse = heaviest = 0.0
     for k, i in enumerate(at):
         _, weight, errors = lexicon.seen[spans[i][0]]
         around = [w for w, _, _ in spans[max(0, i - WINDOW) : i + WINDOW + 1]]
-        before, after = low[max(0, spans[i][1] - 2) : spans[i][1]], low[spans[i][2] : spans[i][2] + 2]
-        told = (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)) or any(w in REPORT for w in around[: min(i, WINDOW)])
+        passage = bisect_right(begins, spans[i][1]) - 1
+        told = (passage >= 0 and spans[i][2] <= passages[passage][1]) or any(w in REPORT for w in around[: min(i, WINDOW)])
         others = sum(1 for j in (k - 1, k + 1) if 0 <= j < len(at) and abs(at[j] - i) <= WINDOW)
         score = weight * (0.3 if told else 1.0) * (1.0 + 0.25 * others + 0.5 * any(w in ADDRESS for w in around))
-        exact, near, stem = exact + weight * (errors == 0), near + weight * (errors > 0), stem + weight * (errors < 0)
-        quoted, abuse, heaviest = quoted + told, abuse + score, max(heaviest, score * (errors <= 0))
-    return [*(float(np.log1p(x)) for x in (exact, near, stem, quoted, abuse)), heaviest, 10.0 * len(at) / len(spans)]
+        exact, near = exact + weight * (errors == 0), near + weight * (errors > 0)
+        quoted, abuse, heaviest = quoted + told, abuse + score, max(heaviest, score * (errors == 0))
+    return [*(float(np.log1p(x)) for x in (exact, near, quoted, abuse)), heaviest, 10.0 * len(at) / len(spans)]
 
 
 @dataclass
@@ -192,41 +193,36 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
-    """(term, stem, toxic, clean, before): documents of the sample with each word and each beginning of one, and the classes of
-    the words before it in toxic documents as bits."""
+    """(term, toxic, clean, before): documents of the sample with each word, and the classes of the words before it in toxic documents
+    as bits."""
     from xxhash import xxh3_64_intdigest
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        before: dict[tuple[str, bool], int] = {}
+        before: dict[str, int] = {}
         for batch in batches(it):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 order = TOKEN.findall((text or "").lower())
-                words = {w for w in order if len(w) >= MIN_LETTERS}
-                terms = {(w, False) for w in words if len(w) <= 32} | {(w[:n], True) for w in words for n in STEMS if len(w) >= n}
-                counts[toxic].update(terms)
+                counts[toxic].update({w for w in order if len(w) >= MIN_LETTERS})
                 if toxic:
                     for last, w in zip(["", *order], order):
                         if len(w) >= MIN_LETTERS:
-                            bit = 1 << xxh3_64_intdigest(last) % 63
-                            for term in ((w, False), *((w[:n], True) for n in STEMS if len(w) >= n)):
-                                before[term] = before.get(term, 0) | bit
+                            before[w] = before.get(w, 0) | 1 << xxh3_64_intdigest(last) % 63
         terms = list(counts[0].keys() | counts[1].keys())
         for k in range(0, len(terms), 50_000):
             part = terms[k : k + 50_000]
-            cols = [pa.array([t for t, _ in part]), pa.array([s for _, s in part]), *(pa.array([counts[x][t] for t in part], pa.int64()) for x in (1, 0))]
-            cols.append(pa.array([before.get(t, 0) for t in part], pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, ["term", "stem", "toxic", "clean", "before"])
+            cols = [pa.array(part, pa.string()), *(pa.array([counts[x][t] for t in part], pa.int64()) for x in (1, 0)), pa.array([before.get(t, 0) for t in part], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["term", "toxic", "clean", "before"])
 
-    made = sample.select("text", "toxic").repartition(PARTS).mapInArrow(run, "term string, stem boolean, toxic long, clean long, before long")
-    return made.groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("before").alias("before"))
+    made = sample.select("text", "toxic").repartition(PARTS).mapInArrow(run, "term string, toxic long, clean long, before long")
+    return made.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("before").alias("before"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of labels.toxic, from rows whose crc32(doc_id) mod modulus isn't held_out; None without both kinds of labels.
 
     Labels without id or value are left out; of several for an id the largest counts. Of the labelled rows, the sample_rows
-    whose ids hash lowest are used, equal texts once; so the driver gets counts and features of a bounded sample only."""
+    whose ids hash lowest are used, equal texts once; so the driver gets entries and features of a bounded sample only."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(crc_mod("doc_id", modulus) != held_out)
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -237,21 +233,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5,
     if not (sizes.get(0) and sizes.get(1)):
         return None
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
-    wanted = (F.col("toxic") >= SUPPORT) & (F.col("odds") >= F.when(F.col("stem"), STEM_ODDS).otherwise(WORD_ODDS))
+    wanted = (F.col("toxic") >= SUPPORT) & (F.col("odds") >= WORD_ODDS)
     wanted &= F.bit_count("before") >= F.greatest(F.lit(CONTEXTS), CONTEXT_SHARE * F.least("toxic", F.lit(40)))
-    top = term_counts(sample).withColumn("odds", odds).where(wanted).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term", "stem").limit(MAX_ENTRIES).collect()
-    stems: dict[str, float] = {}
-    for r in sorted((r for r in top if r["stem"]), key=lambda r: (len(r["term"]), r["term"])):
-        if not any(r["term"][:n] in stems for n in STEMS):
-            stems[r["term"]] = r["odds"]
-    words = {r["term"]: r["odds"] for r in top if not r["stem"]}
-    # a stem is kept where it says more than the words that begin with it: several of them, none alone nearly as common
-    common = {r["term"]: r["toxic"] for r in top if not r["stem"]}
-    stem_docs = {r["term"]: r["toxic"] for r in top if r["stem"]}
-    under = {s: [n for w, n in common.items() if w.startswith(s)] for s in stems}
-    stems = {s: v for s, v in stems.items() if len(under[s]) >= 3 and max(under[s]) <= 0.7 * stem_docs[s]}
-    words = {w: v for w, v in words.items() if not any(w[:n] in stems for n in STEMS)}
-    lexicon = Lexicon(words, stems)
+    entries = term_counts(sample).withColumn("odds", odds).where(wanted).collect()
+    lexicon = Lexicon({r["term"]: r["odds"] for r in sorted(entries, key=lambda r: r["term"])})
 
     def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):

@@ -404,7 +404,18 @@ def test_quotation_scores_less():
     lexicon = toxicity.Lexicon({"idiot": 4.0})
     said = toxicity.features(lexicon, 'the word "idiot" is in the lexicon and has a long history')
     meant = toxicity.features(lexicon, "and you are an idiot and you know it, as all others do")
-    assert said[4] < meant[4] and said[3] > 0 == meant[3]
+    assert said[3] < meant[3] and said[2] > 0 == meant[2]
+    plain = "and then you are an idiot and you know it they do so"
+    for quoted in ('and then "you are an idiot and you know it" they do so', "and then “you are an idiot and you know it” they do so", "and then „you are an idiot and you know it“ they do so", "and then 'you are an idiot and you don't know it' they do so", "and then « you are an idiot and you know it » they do so"):
+        assert toxicity.features(lexicon, quoted)[3] < toxicity.features(lexicon, plain)[3] and toxicity.features(lexicon, quoted)[2] > 0, quoted
+    for open_ in ('"and so" you are an idiot and "you know it"', "don't you know that you are an idiot and others' friend"):
+        assert toxicity.features(lexicon, open_)[2] == 0, open_
+
+
+def test_long_words_are_met():
+    entry = "x" * 20 + "abcdefghij" * 4
+    lexicon = toxicity.Lexicon({entry: 3.0, "pneumonoultramicro": 2.0})
+    assert lexicon.match(entry[:30] + entry[31:]) == (entry, 3.0, 1) and lexicon.match("pneumonultramicros") == ("pneumonoultramicro", 2.0, 2)
 
 
 def test_without_labels(spark, make_docs):
