@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import as_bytes, batches, crc_mod, estimated_bytes, mix64, staged
@@ -19,8 +20,11 @@ ORDER, PAD = 6, 0xFF
 #: Counts up to this order go to all, whole: 2^24 cells at most, of which texts use some ten thousand. Longer contexts are dealt
 #: to shards by their last LOW + 1 bytes, so a shard has all counts that end in them.
 LOW = 2
-#: Rows of a file that make a block, the unit whose words are counted and looked up together.
-BLOCK_ROWS = 4096
+#: Bytes in files that make a block, the unit whose words are counted and looked up together. A text of STEP times the mean and
+#: more is in blocks of such texts, of that many fewer rows.
+BLOCK_BYTES, STEP = 8 << 20, 16
+#: Bytes in files for each shard; more where there are many shards, up to what one task can hold.
+SHARD_BYTES, MANY_SHARDS, LARGE_SHARD_BYTES = 12 << 20, 20_000, 96 << 20
 #: Bytes of a long text that are turned into keys at once.
 PIECE = 1 << 20
 #: Grams of a block or shard that wait to be added up.
@@ -226,15 +230,29 @@ def _costs(total: np.ndarray, escape: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return space.astype(np.float32), np.where(escape > 0, space - np.log2(np.maximum(escape, 1e-9)), 0).astype(np.float32)
 
 
-def blocks_of(docs: DataFrame) -> Column:
-    """A name for each row's block that doesn't depend on how a scan is split or which executors there are."""
+def with_blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, blk, text), and the files' bytes: blk names each row's block, by its file and place there, so that it doesn't depend on how a scan is split
+    or which executors there are. A table that isn't a scan of files is written to the shared folder first.
+
+    Blocks hold BLOCK_BYTES on average and STEP times that at most, or one text: longer texts have blocks of fewer rows."""
+    own = docs.select("doc_id", "text")
     try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column hides the files' own")
         docs.select("_metadata.row_index")
-    except Exception as why:
-        if "UNRESOLVED" not in str(why) and "cannot be resolved" not in str(why):
-            raise
-        return F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("string")
-    return F.concat_ws(":", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / BLOCK_ROWS).cast("string"))
+    except AnalysisException:
+        docs = own = staged(own, "documents")
+    size = estimated_bytes(docs)
+    mean = max(1, size // max(1, own.count()))
+    rows = max(1, BLOCK_BYTES // mean)
+    above = F.greatest(F.lit(0), F.floor(F.log(float(STEP), F.greatest(F.lit(1), F.octet_length(as_bytes("text"))) / mean)))
+    place = F.floor(F.col("_metadata.row_index") / F.greatest(F.lit(1), F.floor(rows / F.pow(F.lit(float(STEP)), above))))
+    return docs.select("doc_id", F.concat_ws(":", "_metadata.file_path", above.cast("string"), place.cast("string")).alias("blk"), "text"), size
+
+
+def shards_for(size: int) -> int:
+    """How many shards a corpus of a size in bytes gets, so that a task can hold one."""
+    return max(8, min(size // SHARD_BYTES, MANY_SHARDS), -(-size // LARGE_SHARD_BYTES))
 
 
 def _low_grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,8 +296,8 @@ def _count(shards: int):
             keys, counts = grams.pop(blk).fold()
             shard = (mix64(keys >> np.uint64(8 * (ORDER - LOW))) % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[by], np.arange(shards + 1))
-            yield rows(GRAMS, blk, [(s, pressed(keys[by[a:b]]), pressed(counts[by[a:b]])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a])
+            found, first = np.unique(shard[by], return_index=True)
+            yield rows(GRAMS, blk, [(s, pressed(keys[by[a:b]]), pressed(counts[by[a:b]])) for s, a, b in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(by)])])
 
         for batch in batches(it, rows=1024, megabytes=2):
             low = [t.lower() for t in batch.column("text").to_pylist()]
@@ -353,10 +371,9 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
     its own, shards add up the blocks' counts and send each block its words' totals and its grams' code lengths, so neither the
     vocabulary, nor the contexts, nor a hot word is ever in one place, and no context is left out at any size of corpus. A third
     pass scores."""
-    shards = shards or int(min(20_000, max(8, estimated_bytes(docs) // (12 << 20))))
-    rows = docs.select("*", blocks_of(docs).alias("blk_")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("blk_", F.lit("")).alias("blk"), (crc_mod("doc_id", modulus) != held_out).alias("train"), as_bytes("text").alias("text")
-    )
+    placed, size = with_blocks(docs)
+    shards = shards or shards_for(size)
+    rows = placed.select(F.col("doc_id").cast("long").alias("doc_id"), "blk", (crc_mod("doc_id", modulus) != held_out).alias("train"), as_bytes("text").alias("text"))
     grams = rows.where("train").select("text").mapInArrow(_low_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
     low = Ppm(cells_of(grams.column("gram").to_numpy().astype(np.uint64), grams.column("n").to_numpy().astype(np.int64), LOW, 0))
     partial = rows.mapInArrow(_count(shards), PARTIAL)

@@ -177,6 +177,25 @@ def test_no_context_is_left_out_of_a_larger_corpus(make_docs):
     assert np.allclose([got[i] for i, _ in docs], want, rtol=1e-5)
 
 
+def test_blocks_are_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    """Long texts among short ones, in files and without: no block exceeds its bytes unless it is one text."""
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 20_000)
+    rows = [(k, "ab " * (5000 if k % 50 == 7 else 40_000 if k == 400 else 30)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "docs"))
+    for docs in (spark.read.parquet(str(tmp_path / "docs")), df):
+        blocks = lmscore.with_blocks(docs)[0].groupBy("blk").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()
+        assert sum(r["n"] for r in blocks) == 1000 and len(blocks) > 8
+        compression = 8  # sizes in files are less than those of texts
+        assert all(r["n"] == 1 or r["size"] <= compression * lmscore.STEP * 20_000 for r in blocks)
+
+
+def test_shards_fit_a_task():
+    assert lmscore.shards_for(0) == 8
+    for size in (10**9, 10**11, 10**12, 10**14):
+        assert size / lmscore.shards_for(size) <= lmscore.LARGE_SHARD_BYTES
+
+
 # --- language identification
 
 
