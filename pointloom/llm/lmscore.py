@@ -22,7 +22,7 @@ ORDER, PAD = 6, 0xFF
 LOW = 2
 #: Bytes in files that make a block, the unit whose words are counted and looked up together. A text of STEP times the mean and
 #: more is in blocks of such texts, of that many fewer rows.
-BLOCK_BYTES, STEP = 8 << 20, 16
+BLOCK_BYTES, STEP = 8 << 20, 128
 #: Bytes in files for each shard; more where there are many shards, up to what one task can hold.
 SHARD_BYTES, MANY_SHARDS, LARGE_SHARD_BYTES = 12 << 20, 20_000, 96 << 20
 #: Bytes of a long text that are turned into keys at once.
