@@ -48,9 +48,13 @@ def gram_keys(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]
     """The last ORDER + 1 bytes up to each symbol as an integer, for all symbols of all pieces; and where each piece starts."""
     blob = np.frombuffer(b"".join(lead + body for lead, body in parts), np.uint8).astype(np.uint64)
     sizes = np.fromiter((len(body) for _, body in parts), np.int64, len(parts))
-    keys = np.zeros(len(blob), np.uint64)
-    for k in range(ORDER + 1):
-        keys[k:] |= blob[: len(blob) - k] << np.uint64(8 * k)
+    # runs of bytes that end at each place: twice as many at each step, and the rest by two runs that overlap
+    keys, width = blob, 1
+    while width < ORDER + 1:
+        step = min(width, ORDER + 1 - width)
+        longer = keys.copy()
+        longer[step:] |= keys[: len(blob) - step] << np.uint64(8 * step)
+        keys, width = longer, width + step
     starts = np.cumsum(sizes) - sizes
     keep = np.ones(len(blob), bool)
     for k in range(ORDER):
@@ -140,6 +144,20 @@ class Table:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
+    def hold(self, values: np.ndarray) -> Table:
+        """Puts each key's value beside it."""
+        self.values = values[np.maximum(self.slots, 0)]
+        return self
+
+    def value(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys all of which are there."""
+        at = self._slot(keys)
+        wrong = np.flatnonzero(self.keys[at] != keys)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.last
+            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
+        return self.values[at]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         at = self._slot(keys)
         out = self.slots[at]
@@ -402,7 +420,7 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
                 for at in range(0, len(parts), 256):
                     for some in _cut(parts[at : at + 256]):
                         keys, starts = gram_keys([p for _, p in some])
-                        np.add.at(total, [i for i, _ in some], np.add.reduceat(lengths[1][lengths[0].find(rolled(keys))], starts, dtype=float))
+                        np.add.at(total, [i for i, _ in some], np.add.reduceat(lengths.value(keys), starts, dtype=float))
                 bits.append(total)
                 mine.clear()
 
@@ -419,7 +437,7 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
                     continue
                 if lengths is None:
                     keys, costs = (np.concatenate(c) for c in zip(*held))
-                    lengths, held = (Table(keys), costs), []
+                    lengths, held = Table(unrolled(keys)).hold(costs), []
                 text = text.lower()
                 words = text.split()
                 c = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
