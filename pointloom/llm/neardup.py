@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pointloom.llm.common import WordIds, as_bytes, batches, discard, give_back, kept, mix64, packed, shingle_set, staged
 from pointloom.llm.components import components
@@ -198,11 +197,10 @@ def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
 
     Small components share blocks of about size rows. One of more rows has blocks of its own, which aren't held against each
     other; so its rows are copied as often as the others of the group have blocks."""
-    by, each = Window.partitionBy(group), Window.partitionBy(group, "component")
-    counted = rows.withColumn("c", F.count("*").over(each))
-    small = F.when(F.col("c") < size, 1).otherwise(0)
-    counted = counted.withColumns({"lo": F.min("component").over(by), "hi": F.max("component").over(by), "parts": F.greatest(F.lit(1), F.ceil(F.sum(small).over(by) / size)), "all": F.count("*").over(by)})
-    placed = counted.where("lo < hi")
+    sizes = rows.groupBy(group, "component").agg(F.count("*").alias("c"))
+    small = F.when(F.col("c") < size, F.col("c")).otherwise(0)
+    totals = sizes.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.sum(small) / size)).alias("parts"), F.count("*").alias("components"), F.sum("c").alias("all"))
+    placed = joined(joined(rows, totals.where("components > 1"), group), sizes, [group, "component"])
     own = F.format_string("%d/%d", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / size)))
     names = [*rows.columns, "x", "y"]
     whole = placed.where(F.col("all") <= size).withColumns({"x": F.lit(""), "y": F.lit("")}).select(names)
