@@ -1,4 +1,4 @@
-"""Exact nearest neighbours without an index library: grids for a radius, blocks of a distance matrix for all k."""
+"""Exact nearest neighbours without an index library: grids whose cells grow until the nearest are certain."""
 
 from __future__ import annotations
 
@@ -93,6 +93,81 @@ def within(a: np.ndarray, b: np.ndarray, radius: float, k: int) -> tuple[np.ndar
     return dist, index, nearest
 
 
+def nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as brute(), by a grid: a point's k nearest are certain once the k-th is nearer than a cell is wide. Cells begin small
+    and double for the points that aren't certain yet, so dense parts are settled by small cells and sparse ones by large."""
+    n, m = len(a), len(b)
+    if n * m <= BLOCK or m <= k:
+        return brute(a, b, k)
+    dist, index = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+    low = np.minimum(a.min(axis=0), b.min(axis=0))
+    span = np.maximum(np.maximum(a.max(axis=0), b.max(axis=0)) - low, 1e-9)
+    # a shell of the larger box holds the points of a scan rather than its inside
+    cell, todo = float(span.max() * np.sqrt(k / m)) / 8, np.arange(n)
+    while len(todo):
+        if cell >= span.max():
+            dist[todo], index[todo] = brute(a[todo], b, k)
+            break
+        grid = Grid(b, low, cell)
+        first, last = grid.ranges(a[todo])
+        sizes = (last - first).sum(axis=1)
+        left = []
+        for part in np.split(np.arange(len(todo)), np.searchsorted(np.cumsum(sizes), np.arange(BLOCK, int(sizes.sum()), BLOCK))):
+            if not len(part):
+                continue
+            i, j = grid.pairs(first[part], last[part])
+            d = np.sqrt(((a[todo[part]][i] - b[j]) ** 2).sum(axis=1))
+            keep = d < cell * (1 - 1e-9)
+            i, j, d = i[keep], j[keep], d[keep]
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            certain = np.bincount(i, minlength=len(part)) >= k
+            keep = (rank < k) & certain[i]
+            rows = todo[part][i[keep]]
+            dist[rows, rank[keep]], index[rows, rank[keep]] = d[keep], j[keep]
+            left.append(todo[part][~certain])
+        todo, cell = np.concatenate(left), cell * 2
+    return dist, index
+
+
+class Grid:
+    """Points by the cell that they are in."""
+
+    def __init__(self, points: np.ndarray, low: np.ndarray, cell: float):
+        self.low, self.cell = low, cell
+        at = self._cells(points)
+        self.size = at.max(axis=0) + 3
+        keys = self._code(at)
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+
+    def _cells(self, points: np.ndarray) -> np.ndarray:
+        return np.floor((points - self.low) / self.cell).astype(np.int64) + 1
+
+    def _code(self, at: np.ndarray) -> np.ndarray:
+        return (at[:, 0] * self.size[1] + at[:, 1]) * self.size[2] + at[:, 2]
+
+    def ranges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the points of the 27 cells around each point begin and end, as nine runs of three cells."""
+        at = self._cells(points)
+        shape = (len(points), 9)
+        first, last = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        for c, (dx, dy) in enumerate((x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)):
+            near = at + np.array([dx, dy, 0])
+            inside = ((near[:, :2] >= 0) & (near[:, :2] < self.size[:2])).all(axis=1) & (near[:, 2] < self.size[2] + 1)
+            z0, z1 = np.clip(near[:, 2] - 1, 0, self.size[2] - 1), np.clip(near[:, 2] + 1, 0, self.size[2] - 1)
+            base = self._code(np.column_stack([near[:, 0], near[:, 1], np.zeros(len(near), np.int64)]))
+            first[:, c] = np.where(inside, np.searchsorted(self.keys, base + z0), 0)
+            last[:, c] = np.where(inside, np.searchsorted(self.keys, base + z1, "right"), 0)
+        return first, np.maximum(first, last)
+
+    def pairs(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = (last - first).ravel()
+        rows = np.repeat(np.repeat(np.arange(len(first)), first.shape[1]), n)
+        return rows, self.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first.ravel(), n)]
+
+
 def knn_join(points: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
     """(anchor_frame, frame_id, anchor_id, point_id, distance, rank): exact, ties by point id.
 
@@ -108,7 +183,7 @@ def knn_join(points: DataFrame, pairs: DataFrame, k: int = 10) -> DataFrame:
         ids = table.column("point_id").to_numpy()
         by = np.argsort(ids, kind="stable")
         left, right = by[side[by] == 0], by[side[by] == 1]
-        dist, index = brute(xyz[left], xyz[right], k)
+        dist, index = nearest(xyz[left], xyz[right], k)
         i, r = np.nonzero(index >= 0)
         n = len(i)
         frames = [pa.array(np.full(n, table.column(c)[0].as_py() if table.num_rows else 0, np.int32)) for c in ("anchor_frame", "frame_id")]

@@ -25,21 +25,37 @@ def time_budget(n_frames: int, length: int, options: Options = Options()) -> flo
 
 
 def segment_mix(spark: SparkSession, n_frames: int, budget: float, time_cost: dict[int, float], score_cost: dict[int, float]) -> DataFrame:
-    """All counts of segments of each length with sum(length * count) = n_frames and time within budget: one row a mix, columns
-    n_<length>, score and time. Each length's range depends on what the longer ones leave, and the shortest is what remains, so
-    rows are the feasible mixes and not the product of all ranges."""
+    """Counts of segments of each length with sum(length * count) = n_frames and time within budget, of which one is the best: one
+    row a mix, columns n_<length>, score and time.
+
+    Each length's range depends on what the longer ones leave. What is left for the two shortest, of which the shortest is one
+    frame, is split in closed form, as time and score are linear in the split: a row is the best split for its longer lengths. So
+    rows are the counts of all lengths but two, made where the longest's counts are dealt out."""
     lengths = sorted(time_cost, reverse=True)
-    mixes = spark.range(1).select(F.lit(n_frames).cast("int").alias("left"), F.lit(0.0).alias("time"), F.lit(0.0).alias("score"))
+    closed = len(lengths) > 1 and lengths[-1] == 1
+    mixes = spark.range(n_frames // lengths[0] + 1).select(F.lit(n_frames).cast("int").alias("left"), F.lit(0.0).alias("time"), F.lit(0.0).alias("score"), F.col("id").cast("int").alias("first"))
     for k, length in enumerate(lengths):
         name, left = f"n_{length}", F.col("left")
-        if k < len(lengths) - 1:
+        if closed and k == len(lengths) - 2:
+            each, per = time_cost[length] - length * time_cost[1], score_cost[length] - length * score_cost[1]
+            most = F.floor(left / length).cast("int")
+            spare = F.lit(budget) - F.col("time") - left * time_cost[1]
+            time = lambda n: F.col("time") + n * time_cost[length] + (left - n * length) * time_cost[1]
+            # the last count within the budget, looked at again as sums round; beyond it time grows or falls
+            edge = F.lit(0) if each == 0 else F.greatest(F.lit(-1), F.least(F.lit(n_frames + 1), (F.floor(spare / each) if each > 0 else F.ceil(spare / each)))).cast("int")
+            upper = most if each <= 0 else F.least(most, F.when(time(edge + 1) <= budget, edge + 1).when(time(edge) <= budget, edge).otherwise(edge - 1))
+            lower = F.lit(0) if each >= 0 else F.greatest(F.lit(0), F.when(time(edge - 1) <= budget, edge - 1).when(time(edge) <= budget, edge).otherwise(edge + 1))
+            mixes = mixes.withColumns({"upper": upper, "lower": lower}).where("upper >= lower").withColumn(name, F.col("upper" if per <= 0 else "lower")).drop("upper", "lower")
+        elif k == 0:
+            mixes = mixes.withColumnRenamed("first", name) if len(lengths) > 1 else mixes.where(F.col("first") * length == n_frames).withColumnRenamed("first", name)
+        elif k < len(lengths) - 1:
             mixes = mixes.withColumn(name, F.explode(F.sequence(F.lit(0), F.floor(left / length).cast("int"))))
         else:
             mixes = mixes.where(left % length == 0).withColumn(name, F.floor(left / length).cast("int"))
         count = F.col(name)
         mixes = mixes.withColumns({"left": left - count * length, "time": F.col("time") + count * time_cost[length], "score": F.col("score") + count * score_cost[length]})
         mixes = mixes.where(F.col("time") <= budget)
-    return mixes.where("left = 0").drop("left")
+    return mixes.where("left = 0").drop("left", "first")
 
 
 def best_mix(spark: SparkSession, n_frames: int, budget: float, time_cost: dict[int, float], score_cost: dict[int, float]) -> dict[int, int]:
@@ -82,6 +98,13 @@ def rewards(gains: DataFrame) -> DataFrame:
     return gains.withColumn("avg", avg).withColumn("reward", (F.col("gain") - F.col("avg")) / F.col("avg"))
 
 
+def reward_of(gain: float, total: float, done: int) -> float:
+    """A block's reward: its gain against the average of all so far, this one too (total), after done others; 1 stands for the average
+    of the first."""
+    avg = total / (done + 1) if done else 1.0
+    return (gain - avg) / avg if avg else 0.0
+
+
 def assign_segments(n_frames: int, counts: dict[int, int], block_gains: Callable[[Sequence[tuple[int, int]]], Sequence[float]], seed: int = 42) -> list[tuple[int, int]]:
     """Places for counts[length] segments of each length: (start, end) in order, which tile the frames.
 
@@ -108,8 +131,7 @@ def assign_segments(n_frames: int, counts: dict[int, int], block_gains: Callable
         drawn = rng.choice(n_blocks, size=m, replace=False, p=weight / weight.sum()).tolist()
         for b, gain in zip(drawn, block_gains([(b * size, (b + 1) * size) for b in drawn]), strict=True):
             total += gain
-            avg = total / (done + 1) if done else 1.0
-            scores = smoothed(scores, selected, b, (gain - avg) / avg if avg else 0.0)
+            scores = smoothed(scores, selected, b, reward_of(gain, total, done))
             selected[b] = True
             left[long] -= per_block
             done += 1
@@ -124,35 +146,32 @@ def assign_segments(n_frames: int, counts: dict[int, int], block_gains: Callable
 
 def _filled(gaps: list[tuple[int, int]], left: dict[int, int]) -> list[tuple[int, int]]:
     """The remaining segments laid out over the gaps: for each gap lengths that add up to it, longest first, with a way back
-    where a choice leaves a gap that can't be filled; RuntimeError if there is no way."""
+    where a choice leaves a gap that can't be filled; RuntimeError if there is no way. The path so far is a list, so a sequence of any
+    number of segments is laid out."""
+    lengths = sorted(left, reverse=True)
+    counts = [left[n] for n in lengths]
     tried: set[tuple] = set()
-
-    def fill(k: int, at: int, left: dict[int, int]) -> list[tuple[int, int]] | None:
+    path: list[tuple[int, int, int]] = []  # gap, start, which length
+    k, at, which = 0, gaps[0][0] if gaps else 0, 0
+    while True:
         while k < len(gaps) and at >= gaps[k][1]:
             k, at = k + 1, gaps[k + 1][0] if k + 1 < len(gaps) else 0
-        if k == len(gaps):
-            return [] if not any(left.values()) else None
-        state = (k, at, tuple(sorted(left.items())))
-        if state in tried:
-            return None
-        for length in sorted((n for n, c in left.items() if c and at + n <= gaps[k][1]), reverse=True):
-            rest = fill(k, at + length, {**left, length: left[length] - 1})
-            if rest is not None:
-                return [(at, at + length), *rest]
-        tried.add(state)
-        return None
-
-    import sys
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 100 + 3 * sum(left.values())))
-    try:
-        found = fill(0, gaps[0][0] if gaps else 0, dict(left))
-    finally:
-        sys.setrecursionlimit(limit)
-    if found is None:
-        raise RuntimeError("the remaining segments don't fit the remaining frames")
-    return found
+        if k == len(gaps) and not any(counts):
+            return [(s, s + lengths[c]) for _, s, c in path]
+        if k < len(gaps) and (which or (k, at, *counts) not in tried):
+            while which < len(lengths) and not (counts[which] and at + lengths[which] <= gaps[k][1]):
+                which += 1
+            if which < len(lengths):
+                path.append((k, at, which))
+                counts[which] -= 1
+                at, which = at + lengths[which], 0
+                continue
+            tried.add((k, at, *counts))
+        if not path:
+            raise RuntimeError("the remaining segments don't fit the remaining frames")
+        k, at, which = path.pop()
+        counts[which] += 1
+        which += 1
 
 
 def plan(spark: SparkSession, n_frames: int, block_gains: Callable, options: Options = Options()) -> list[tuple[int, int]]:

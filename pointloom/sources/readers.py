@@ -14,11 +14,11 @@ POINTS = "frame_id int, point_id long, x float, y float, z float, intensity floa
 
 
 def frame_catalog(spark: SparkSession, folder: str, ext: str = ".bin") -> DataFrame:
-    """(frame_id, file_name, n_points, file_bytes): a frame's id is its rank among the folder's sorted names. Only names and
-    sizes are read; there is a row a file, so ranking them in one place is small."""
+    """(frame_id, file_name, n_points, file_bytes): a frame's id is its rank among its folder's sorted names. Only names and
+    sizes are read; a path that matches many folders has each ranked by itself."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ext}").load(folder).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
-    order = Window.orderBy("file_name")
+    order = Window.partitionBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1)).orderBy("file_name")
     named = files.select("path", name.alias("file_name"), F.col("length").alias("file_bytes"))
     return named.select((F.row_number().over(order) - 1).cast("int").alias("frame_id"), "file_name", F.floor(F.col("file_bytes") / 16).alias("n_points"), "file_bytes", "path")
 
