@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,10 +74,39 @@ def kept(spark: SparkSession, sf_dir: str, options: Options = OPTIONS) -> DataFr
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def written_frames(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each frame, where all executors see it; a folder of this machine where there is but one."""
+    import re
+    import tempfile
+    import uuid
+
+    from pointloom.sources.writers import write_frames
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="pointloom-")
+    path = f"{folder.rstrip('/')}/frames/{uuid.uuid4().hex}"
+    write_frames(fx.points(spark, sf_dir), path)
+    return path
+
+
 @query(duck(f"select {b('frame_id', 'frame_id')}, lpad(cast(frame_id as varchar), 6, '0') || '.bin' as file_name, {b('count(*)', 'n_points')}, {b('count(*) * 16', 'file_bytes')} from points group by frame_id", "points"))
 def frame_catalog(spark, sf_dir):
-    p = fx.points(spark, sf_dir).groupBy("frame_id").agg(F.count("*").alias("n_points"))
-    return p.select(F.col("frame_id").cast("long"), F.concat(F.lpad(F.col("frame_id").cast("string"), 6, "0"), F.lit(".bin")).alias("file_name"), "n_points", (F.col("n_points") * 16).alias("file_bytes"))
+    """The catalog of frame files that were written from the points."""
+    from pointloom.sources import readers
+
+    return readers.frame_catalog(spark, written_frames(spark, sf_dir)).select(F.col("frame_id").cast("long"), "file_name", F.col("n_points").cast("long"), F.col("file_bytes").cast("long"))
+
+
+@query(duck(f"select {b('frame_id', 'frame_id')}, {b('row_number() over (partition by frame_id order by point_id) - 1', 'point_id')}, {', '.join(b(f'round(cast({c} as float)::double * 1e3)', c) for c in (*XYZ, 'intensity'))} from points", "points"))
+def frame_scan(spark, sf_dir):
+    """Points read back from frame files; coordinates, which files hold as floats, in thousandths."""
+    from pointloom.sources import readers
+
+    rows = readers.read_frames(spark, written_frames(spark, sf_dir))
+    return rows.select(F.col("frame_id").cast("long"), "point_id", *(F.round(F.col(c).cast("double") * 1e3).cast("long").alias(c) for c in (*XYZ, "intensity")))
 
 
 @query(duck(f"select {b('q.query_id', 'query_id')}, {b('p.frame_id', 'frame_id')}, {b('point_id', 'point_id')}, {P4} from points p join q_random q on p.frame_id = q.frame_id", "points", "q_random"))
@@ -286,6 +316,23 @@ def bits_needed(spark, sf_dir):
     return spark.range(40).select(F.col("id").alias("most"), geometry.bits_needed(F.col("id")).cast("long").alias("bits"))
 
 
+@query(duck(f"select {', '.join(b(c, c) for c in ('pair_id', 'cx', 'cy', 'cz', 'n0', 'n1'))} from leaves", "points", also=LEAVES))
+def octree_stream(spark, sf_dir):
+    """Leaves that went through the bit stream."""
+    p = fx.points(spark, sf_dir)
+    return longs(octree.deserialise(octree.serialise(octree.leaves(celled(spark, sf_dir)), octree.clouds_of(p))))
+
+
+OCTREE_BITS = "select cast(pair_id as bigint) as pair_id, cast(count(*) * 3 + sum(case when level < 15 then 8 * (cast(n0 > 0 as int) + cast(n1 > 0 as int)) else 0 end) + sum(case when level = 15 then cast(n0 > 0 as int) + cast(n1 > 0 as int) else 0 end) * greatest(1, ceil(log2(max(case when level = 15 then greatest(n0, n1) end) + 1))) as bigint) as bits from nodes group by pair_id"
+
+
+@query(duck(OCTREE_BITS, "points", also=NODES))
+def octree_stream_bits(spark, sf_dir):
+    """Bits of the streams as they are written."""
+    p = fx.points(spark, sf_dir)
+    return longs(octree.serialise(octree.leaves(celled(spark, sf_dir)), octree.clouds_of(p)).select("pair_id", "bits"))
+
+
 @query(
     duck(
         "select cast(pair_id as bigint) as pair_id, cast(count(*) * 3 + sum(case when level < 15 then 8 * (cast(n0 > 0 as int) + cast(n1 > 0 as int)) else 0 end) + sum(case when level = 15 then cast(n0 > 0 as int) + cast(n1 > 0 as int) else 0 end) * greatest(1, ceil(log2(max(case when level = 15 then greatest(n0, n1) end) + 1))) as bigint) as bits from nodes group by pair_id",
@@ -389,7 +436,9 @@ def segments_direct(spark, sf_dir):
 
 @query(f"select cast(range as bigint) as block, {m('case when abs(range-5) <= 4 then greatest(1.0 + 20.0*0.3*exp(-((range-5)*(range-5))/8.0), exp(-6.0)) else 1.0 end', 'score')} from range(12)")
 def gaussian_smooth(spark, sf_dir):
-    return coded(planner.smoothing_weights(spark, 12, 5, 0.3), "block", of=("score",))
+    """The planner's own step, for scores of one and nothing selected."""
+    scores = planner.smoothed(np.ones(12), np.zeros(12, bool), 5, 0.3)
+    return coded(spark.createDataFrame(list(enumerate(scores.tolist())), "block long, score double"), "block", of=("score",))
 
 
 GAINS = "(select range as seq, 10.0 + 3.0*sin(range) as gain from range(10))"
@@ -397,8 +446,12 @@ GAINS = "(select range as seq, 10.0 + 3.0*sin(range) as gain from range(10))"
 
 @query(f"select seq, {m('a', 'avg')}, {m('(gain - a) / a', 'reward')} from (select seq, gain, case when seq = 0 then 1.0 else avg(gain) over (order by seq rows unbounded preceding) end as a from {GAINS})")
 def bandit_reward(spark, sf_dir):
-    gains = spark.range(10).select(F.col("id").alias("seq"), (10.0 + 3.0 * F.sin("id")).alias("gain"))
-    return coded(planner.rewards(gains), "seq", of=("avg", "reward"))
+    """Rewards as the planner's loop computes them, and the averages by an expression."""
+    gains = [10.0 + 3.0 * math.sin(k) for k in range(10)]
+    own = [(k, planner.reward_of(g, sum(gains[: k + 1]), k)) for k, g in enumerate(gains)]
+    rows = spark.range(10).select(F.col("id").alias("seq"), (10.0 + 3.0 * F.sin("id")).alias("gain"))
+    avg = planner.rewards(rows).select("seq", "avg")
+    return coded(avg.join(spark.createDataFrame(own, "seq long, reward double"), "seq"), "seq", of=("avg", "reward"))
 
 
 @query("select cast(range as bigint) as query_id, cast(range*11 % 100 as bigint) as start_frame, cast(least(range*11 % 100 + 30, 100) as bigint) as end_frame from range(10)")
@@ -565,8 +618,14 @@ def seq_io_cost(spark, sf_dir):
     return retrieve.io_cost(retrieve.wanted_frames(fx.q_seq(spark), fx.segments(spark)), store.tables(rows), store.patch_blobs(rows))
 
 
-@query()
+@query(duck("select round(sum(n) * 16 / 1024.0, 6) as kb from (select count(*) as n from points)", "points"))
 def disk_consume(spark, sf_dir):
+    """KB of the files in a folder: frames as they are written."""
+    return store.disk_consume(spark, written_frames(spark, sf_dir)).select(F.round("kb", 6).alias("kb"))
+
+
+@query()
+def segment_sizes(spark, sf_dir):
     return store.segment_sizes(kept(spark, sf_dir))
 
 
@@ -586,3 +645,17 @@ def segments_cover(spark, sf_dir):
     placed = planner.assign_segments(100, mix, lambda blocks: [10.0 + 3.0 * math.sin(s) for s, _ in blocks], OPTIONS.seed)
     rows = spark.createDataFrame([(k, s, e) for k, (s, e) in enumerate(placed)], "segment_id int, start_frame int, end_frame int")
     return longs(planner.covers(rows, 100))
+
+
+@query(duck("select cast(query_id as bigint) as query_id, cast(p.frame_id as bigint) as frame_id, cast(count(*) as bigint) as n_points, cast(0 as bigint) as too_far from points p join q_random q on p.frame_id = q.frame_id group by 1, 2", "points", "q_random"))
+def random_search_bounds(spark, sf_dir):
+    """For each lookup the points that came out of the store, and how many of them are farther from all points of the raw frame than a
+    shared point may be from the one that it stands for: the soft threshold, and the step of the stored coordinates."""
+    found = random_search(spark, sf_dir).withColumn("point_id", F.monotonically_increasing_id())
+    radius = OPTIONS.soft_distance_ratio * OPTIONS.distance_threshold + 1e-3
+    made = found.select((F.col("frame_id") + 100).cast("int").alias("frame_id"), "query_id", "point_id", *XYZ)
+    both = made.drop("query_id").unionByName(fx.points(spark, sf_dir).select("frame_id", "point_id", *XYZ))
+    pairs = spark.createDataFrame([(f + 100, f) for _, f in fx.Q_RANDOM], "anchor_frame int, frame_id int")
+    near = neighbours.radius_join(both, pairs, radius).select("frame_id", F.col("anchor_id").alias("point_id")).distinct()
+    far = found.select("query_id", "frame_id", "point_id").join(near.withColumn("near", F.lit(1)), ["frame_id", "point_id"], "left")
+    return longs(far.groupBy("query_id", "frame_id").agg(F.count("*").alias("n_points"), F.count_if(F.col("near").isNull()).alias("too_far")))
