@@ -191,24 +191,33 @@ def _groups(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows (group, id, component, ...) whose group has several components, dealt out so that each two rows of other components
-    meet: a row comes once for each two blocks of its group of which its own is one, named x <= y, its own being mine.
-
-    Small components share blocks of about size rows. One of more rows has blocks of its own, which aren't held against each
-    other; so its rows are copied as often as the others of the group have blocks."""
+def open_groups(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """(group, component, c, all, parts), staged, of groups that have several components: the rows of the component and of the group, and
+    the blocks that its components of less than size rows share."""
     sizes = rows.groupBy(group, "component").agg(F.count("*").alias("c"))
     small = F.when(F.col("c") < size, F.col("c")).otherwise(0)
     totals = sizes.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.sum(small) / size)).alias("parts"), F.count("*").alias("components"), F.sum("c").alias("all"))
-    placed = joined(joined(rows, totals.where("components > 1"), group), sizes, [group, "component"])
-    own = F.format_string("%d/%d", "component", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / size)))
-    names = [*rows.columns, "x", "y"]
-    whole = placed.where(F.col("all") <= size).withColumns({"x": F.lit(""), "y": F.lit("")}).select(names)
-    named = placed.where(F.col("all") > size).withColumn("mine", F.when(F.col("c") < size, F.format_string("/%d", F.pmod(F.xxhash64("component"), "parts"))).otherwise(own))
-    every = named.groupBy(group).agg(F.collect_set("mine").alias("blocks"))
+    return staged(joined(sizes, totals.where("components > 1").drop("components"), group), "open")
+
+
+def in_blocks(rows: DataFrame, opened: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows (group, id, component, ...) of the groups that open_groups found, dealt out so that each two rows of other components
+    meet: a row comes once for each two blocks of its group of which its own is one, named x <= y. Groups of up to size rows are one
+    block, whose names are empty.
+
+    Small components share blocks of about size rows. One of more rows has blocks of its own, which aren't held against each
+    other; so its rows are copied as often as the others of the group have blocks. The blocks of a group follow from its components'
+    sizes and come as rows, so no group is held anywhere."""
+    shared = F.format_string("/%d", F.pmod(F.xxhash64("component"), "parts"))
+    own = lambda k: F.format_string("%d/%d", "component", k)
+    many = F.ceil(F.col("c") / size)
+    every = opened.where(F.col("all") > size).select(group, F.explode(F.when(F.col("c") < size, F.array(shared)).otherwise(F.transform(F.sequence(F.lit(0), many - 1), own))).alias("other")).distinct()
+    mine = F.when(F.col("c") < size, shared).otherwise(own(F.pmod(F.xxhash64("id"), many)))
+    placed = joined(joined(rows, opened, [group, "component"]).withColumn("mine", mine), every, group, "left")
     one = lambda c: F.substring_index(c, "/", 1)
-    paired = joined(named, every, group).select("*", F.explode("blocks").alias("other")).where((one("mine") != one("other")) | (one("mine") == ""))
-    return whole.unionByName(paired.withColumns({"x": F.least("mine", "other"), "y": F.greatest("mine", "other")}).select(names))
+    apart = F.col("other").isNull() | (one("mine") != one("other")) | (one("mine") == "")
+    named = {"x": F.coalesce(F.when(F.col("other").isNotNull(), F.least("mine", "other")), F.lit("")), "y": F.coalesce(F.when(F.col("other").isNotNull(), F.greatest("mine", "other")), F.lit(""))}
+    return placed.where(apart).withColumns(named).select(*rows.columns, "x", "y")
 
 
 def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -237,7 +246,9 @@ def family_links(members: DataFrame, docs: DataFrame, width: int, percent: int,
     """(a, b): links by full sets that join, in each family, all that its links across components join; members (family, id,
     component, doc_id, th). Each two blocks of a family are a task's work; sets are compared as bits over the shingles that two
     of them have."""
-    paired = staged(in_blocks(members, "family", FAMILY_BLOCK), "paired")
+    opened = open_groups(members, "family", FAMILY_BLOCK)
+    paired = staged(in_blocks(members, opened, "family", FAMILY_BLOCK), "paired")
+    discard(opened)
     rows = texts_of(paired, docs, doc_id, text)
     dealt = joined(paired, rows, ["doc_id", "th"]).select("family", "x", "y", "id", "component", "text")
     dealt = dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "id")
@@ -341,18 +352,21 @@ def groups(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", te
     # tables where classes of several components meet
     member = shared.select("key", F.col("b").alias("id")).unionAll(shared.select("key", F.col("a").alias("id")).distinct())
     placed = joined(member, found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rows = joined(in_blocks(placed, "key", TABLE_BLOCK), classes.select("id", "n", "sig"), "id")
-    near = staged(near_pairs(rows, percent).distinct(), "near")
+    rows = staged(placed, "placed")
     discard(shared, pairs)
+    opened = open_groups(rows, "key", TABLE_BLOCK)
+    near = staged(near_pairs(joined(in_blocks(rows, opened, "key", TABLE_BLOCK), classes.select("id", "n", "sig"), "id"), percent).distinct(), "near")
+    discard(rows, opened)
     if not near.isEmpty():
         families = components(near)
         members = joined(families.withColumnRenamed("component", "family"), found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
-        more = staged(family_links(joined(members, named, "id"), docs, width, percent, doc_id, text), "links")
+        members = staged(joined(members, named, "id"), "members")
+        more = staged(family_links(members, docs, width, percent, doc_id, text), "links")
         if not more.isEmpty():
             whole = components(edges.unionByName(more))
             discard(found)
             found = whole
-        discard(families, more)
+        discard(families, members, more)
     discard(near, edges)
     labelled = joined(classes.select("h1", "h2", "id", "first"), found, "id", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "id"))
     winners = labelled.where("linked").groupBy("component").agg(F.min("first").alias("least"))
