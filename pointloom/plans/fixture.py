@@ -117,7 +117,7 @@ least(1.0, i + 0.004*((frame_id + point_id) % 4)) as intensity from w)""",
     "detections": """(select event_id as i, cast(event_id % 8 as int) as frame_id, cast(event_id // 8 as int) as box_idx, cast(length(event_type) % 3 as int) as label, source,
 ((abs(value) / 50) % 1) - m * 0.03 as score, (event_id % 97) + m * 0.4 * sin(event_id) as bx, (event_id % 89) + m * 0.4 * cos(event_id) as by_, (event_id % 5) * 0.5 as bz,
 2.0 + (event_id % 3) as l, 2.0 + (event_id % 2) as w, (event_id % 63) * 0.1 - 3.1 + m * 0.2 * sin(3.0 * event_id) as theta
-from events cross join (values ('raw', 0.0::double), ('reconstructed', 1.0::double)) as v(source, m) where event_id // 8 < 60 and (source = 'raw' or event_id % 7 <> 0))""",
+from events cross join (values ('raw', 0.0::double), ('reconstructed', 1.0::double)) as v(source, m) where source = 'raw' or event_id % 7 <> 0)""",
 }
 
 

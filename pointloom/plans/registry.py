@@ -185,50 +185,49 @@ def world_roundtrip(spark, sf_dir):
     return coded(geometry.from_world(there, fx.poses(spark)), "frame_id", "point_id", of=XYZ)
 
 
+def segment_pairs(spark: SparkSession) -> DataFrame:
+    """Each frame as an anchor with all other frames of its segment."""
+    frames = fx.segments(spark).select("segment_id", F.explode(F.expr("sequence(start_frame, end_frame - 1)")).alias("frame_id"))
+    return frames.withColumnRenamed("frame_id", "anchor_frame").join(frames, "segment_id").where("anchor_frame <> frame_id").select("anchor_frame", "frame_id")
+
+
+#: The same pairs in SQL.
+FRAME_PAIRS = "frame_pairs as (select a.range as anchor_frame, c.range as frame_id from segments s, range(8) a, range(8) c where a.range <> c.range and a.range >= start_frame and a.range < end_frame and c.range >= start_frame and c.range < end_frame)"
+
+
 @query(
     duck(
-        f"select {b('2', 'anchor_frame')}, {b('f.frame_id', 'frame_id')}, {b('point_id', 'point_id')}, {m('f.c*(wx-f.tx) + f.s*wy', 'x')}, {m('-f.s*(wx-f.tx) + f.c*wy', 'y')}, {m('z', 'z')} from w cross join poses f where f.frame_id in (0, 1, 3)",
+        f"select {b('w.frame_id', 'anchor_frame')}, {b('f.frame_id', 'frame_id')}, {b('point_id', 'point_id')}, {m('f.c*(wx-f.tx) + f.s*wy', 'x')}, {m('-f.s*(wx-f.tx) + f.c*wy', 'y')}, {m('z', 'z')} from w join frame_pairs g on w.frame_id = g.anchor_frame join poses f on f.frame_id = g.frame_id",
         "points",
         "poses",
-        also="w as (select point_id, q.c*p.x - q.s*p.y + q.tx as wx, q.s*p.x + q.c*p.y as wy, z from points p join poses q on p.frame_id = q.frame_id where p.frame_id = 2)",
+        "segments",
+        also=f"{FRAME_PAIRS}, w as (select p.frame_id, point_id, q.c*p.x - q.s*p.y + q.tx as wx, q.s*p.x + q.c*p.y as wy, z from points p join poses q on p.frame_id = q.frame_id)",
     )
 )
 def anchor_to_frame(spark, sf_dir):
-    p = fx.points(spark, sf_dir).where("frame_id = 2").withColumnRenamed("frame_id", "anchor_frame")
-    p = p.withColumn("frame_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(3))))
+    p = fx.points(spark, sf_dir).withColumnRenamed("frame_id", "anchor_frame").join(segment_pairs(spark), "anchor_frame")
     return coded(geometry.anchor_to_frame(p, fx.poses(spark)), "anchor_frame", "frame_id", "point_id", of=XYZ)
 
 
-def segment_pairs(spark: SparkSession) -> DataFrame:
-    """Each frame as an anchor with all other frames of its segment."""
-    frames = fx.segments(spark).select("segment_id", F.explode(F.expr("sequence(start_frame, end_frame - 1)")).alias("frame_id"))
-    return frames.withColumnRenamed("frame_id", "anchor_frame").join(frames, "segment_id").where("anchor_frame <> frame_id").select("anchor_frame", "frame_id")
-
-
-def frame_pairs(spark: SparkSession) -> DataFrame:
-    """The pairs that the SQL has; queries without SQL take those of segment_pairs."""
-    return spark.createDataFrame([(1, 0), (1, 2)], "anchor_frame int, frame_id int")
-
-
 DIST = "sqrt((a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y)+(a.z-c.z)*(a.z-c.z))"
-KNN = f"knn as (select *, row_number() over (partition by frame_id, anchor_id order by d, point_id) as rk from (select a.point_id as anchor_id, c.frame_id, c.point_id, {DIST} as d from points a cross join points c where a.frame_id = 1 and c.frame_id in (0, 2)))"
+KNN = f"{FRAME_PAIRS}, knn as (select *, row_number() over (partition by anchor_frame, frame_id, anchor_id order by d, point_id) as rk from (select g.anchor_frame, a.point_id as anchor_id, c.frame_id, c.point_id, {DIST} as d from frame_pairs g join points a on a.frame_id = g.anchor_frame join points c on c.frame_id = g.frame_id))"
 
 
-@query(duck(f"select {b('1', 'anchor_frame')}, {b('frame_id', 'frame_id')}, {b('anchor_id', 'anchor_id')}, {b('point_id', 'point_id')}, {b('rk', 'rank')}, {m('d', 'distance')} from knn where rk <= 10", "points", also=KNN))
+@query(duck(f"select {b('anchor_frame', 'anchor_frame')}, {b('frame_id', 'frame_id')}, {b('anchor_id', 'anchor_id')}, {b('point_id', 'point_id')}, {b('rk', 'rank')}, {m('d', 'distance')} from knn where rk <= 10", "points", "segments", also=KNN))
 def knn_join(spark, sf_dir):
-    rows = neighbours.knn_join(fx.points(spark, sf_dir), frame_pairs(spark), OPTIONS.neighbours)
+    rows = neighbours.knn_join(fx.points(spark, sf_dir), segment_pairs(spark), OPTIONS.neighbours)
     return coded(rows, "anchor_frame", "frame_id", "anchor_id", "point_id", "rank", of=("distance",))
 
 
-@query(duck(f"select {b('1', 'anchor_frame')}, {b('frame_id', 'frame_id')}, {b('anchor_id', 'anchor_id')}, {b('point_id', 'point_id')}, {m('d', 'distance')} from knn where d <= 0.06", "points", also=KNN))
+@query(duck(f"select {b('anchor_frame', 'anchor_frame')}, {b('frame_id', 'frame_id')}, {b('anchor_id', 'anchor_id')}, {b('point_id', 'point_id')}, {m('d', 'distance')} from knn where d <= 0.06", "points", "segments", also=KNN))
 def radius_join(spark, sf_dir):
-    rows = neighbours.radius_join(fx.points(spark, sf_dir), frame_pairs(spark), OPTIONS.soft_distance_ratio * OPTIONS.distance_threshold)
+    rows = neighbours.radius_join(fx.points(spark, sf_dir), segment_pairs(spark), OPTIONS.soft_distance_ratio * OPTIONS.distance_threshold)
     return coded(rows, "anchor_frame", "frame_id", "anchor_id", "point_id", of=("distance",))
 
 
-@query(duck(f"select {b('1', 'anchor_frame')}, {b('anchor_id', 'anchor_id')}, {m('t', 'total')}, {b('row_number() over (order by t, anchor_id)', 'position')} from (select anchor_id, sum(d) as t from knn where rk = 1 group by anchor_id)", "points", also=KNN))
+@query(duck(f"select {b('anchor_frame', 'anchor_frame')}, {b('anchor_id', 'anchor_id')}, {m('t', 'total')}, {b('row_number() over (partition by anchor_frame order by t, anchor_id)', 'position')} from (select anchor_frame, anchor_id, sum(d) as t from knn where rk = 1 group by anchor_frame, anchor_id)", "points", "segments", also=KNN))
 def anchor_order(spark, sf_dir):
-    near = neighbours.knn_join(fx.points(spark, sf_dir), frame_pairs(spark), 1)
+    near = neighbours.knn_join(fx.points(spark, sf_dir), segment_pairs(spark), 1)
     return coded(neighbours.anchor_order(near), "anchor_frame", "anchor_id", "position", of=("total",))
 
 
@@ -488,20 +487,18 @@ where a.source = 'reconstructed' and c.source = 'raw' and {filter_1} and {filter
 and ({diff} < {angle} or (abs(a.l-a.w) < 0.01 and abs(c.l-c.w) < 0.01 and abs({diff} - pi()) < {angle})))"""
 
 
-#: The boxes of a frame that the SQL takes; queries with SQL take the same, those without take all.
-IN_SQL = "box_idx < 60"
 FWD = _pairs_sql("a.score > 0.45", "c.score > 0.45", "pi()/10", "pi()")
 
 
 @query(duck(f"select {', '.join(b(c, c) for c in ('frame_id', 'label', 'box_1', 'box_2'))} from det_pairs", "detections", also=FWD))
 def det_pairs_fwd(spark, sf_dir):
-    return longs(evaluate.candidate_pairs(*evaluate.sides(fx.detections(spark, sf_dir).where(IN_SQL), 0.45)))
+    return longs(evaluate.candidate_pairs(*evaluate.sides(fx.detections(spark, sf_dir), 0.45)))
 
 
 @query(duck(f"select {', '.join(b(c, c) for c in ('frame_id', 'box_idx'))} from detections d where source = 'raw' and score > 0.45 and not exists (select 1 from det_pairs p where p.frame_id = d.frame_id and p.box_2 = d.box_idx)", "detections", also=FWD))
 def det_unmatched(spark, sf_dir):
     """Raw boxes without any candidate."""
-    found, raw = evaluate.sides(fx.detections(spark, sf_dir).where(IN_SQL), 0.45)
+    found, raw = evaluate.sides(fx.detections(spark, sf_dir), 0.45)
     return longs(evaluate.unmatched(raw, evaluate.candidate_pairs(found, raw), "box_2"), "frame_id", "box_idx")
 
 
