@@ -11,6 +11,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pointloom.functions import codec, geometry
 from pointloom.functions.geometry import micro
@@ -648,7 +649,8 @@ def segments_cover(spark, sf_dir):
 def random_search_bounds(spark, sf_dir):
     """For each lookup the points that came out of the store, and how many of them are farther from all points of the raw frame than a
     shared point may be from the one that it stands for: the soft threshold, and the step of the stored coordinates."""
-    found = random_search(spark, sf_dir).withColumn("point_id", F.monotonically_increasing_id())
+    # found is computed twice, and its rows may come in another order: an id by coordinates is the same both times
+    found = random_search(spark, sf_dir).withColumn("point_id", F.row_number().over(Window.partitionBy("query_id", "frame_id").orderBy(*XYZ)).cast("long"))
     radius = OPTIONS.soft_distance_ratio * OPTIONS.distance_threshold + 1e-3
     made = found.select((F.col("frame_id") + 100).cast("int").alias("frame_id"), "query_id", "point_id", *XYZ)
     both = made.drop("query_id").unionByName(fx.points(spark, sf_dir).select("frame_id", "point_id", *XYZ))
