@@ -220,10 +220,12 @@ def in_blocks(rows: DataFrame, opened: DataFrame, group: str, size: int) -> Data
     return placed.where(apart).withColumns(named).select(*rows.columns, "x", "y")
 
 
-def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that join, in each table, what its near pairs across components join; rows (key, id, component, n, sig).
+def near_pairs(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(a, b): pairs of a table that are near by size and signature, across components; rows (key, id, component, n, sig).
 
-    Pairs are compared within a task and only a spanning forest is sent on, so what comes out is linear in the rows."""
+    Pairs are compared within a task and only a spanning forest is sent on, so what comes out is linear in the rows. Where whole is
+    set, that forest is of the table's near pairs: the two rows of any such pair are in one tree. Else components count as one from
+    the start: one pair stands for all that join the same ones, so it is quicker, but others of those may be links and this one not."""
     dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,10 +234,11 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
             sig = _signatures(table.column("sig").combine_chunks())
 
             def near(i: int, rest: np.ndarray) -> np.ndarray:
+                rest = rest[component[rest] != component[i]]
                 rest = rest[100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])]
                 return rest[(sig[rest] == sig[i]).sum(axis=1) >= AGREE]
 
-            if found := linked_pairs(ids, component, near):
+            if found := linked_pairs(ids, np.arange(len(ids)) if whole else component, near):
                 yield _pair_batch(found)
         give_back()
 
@@ -349,25 +352,28 @@ def groups(docs: DataFrame, width: int, percent: int, doc_id: str = "doc_id", te
     pairs = staged(likely(shared.select("a", "b").distinct(), classes, percent), "pairs")
     edges = verified(pairs, named, docs, width, percent, doc_id, text)
     found = components(edges)
-    # tables where classes of several components meet
+    discard(pairs, edges)
+    # tables where classes of several components meet: first one near pair for each two components, then, of what that leaves apart, all
     member = shared.select("key", F.col("b").alias("id")).unionAll(shared.select("key", F.col("a").alias("id")).distinct())
-    placed = joined(member, found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    rows = staged(placed, "placed")
-    discard(shared, pairs)
-    opened = open_groups(rows, "key", TABLE_BLOCK)
-    near = staged(near_pairs(joined(in_blocks(rows, opened, "key", TABLE_BLOCK), classes.select("id", "n", "sig"), "id"), percent).distinct(), "near")
-    discard(rows, opened)
-    if not near.isEmpty():
+    for whole in (False, True):
+        placed = joined(member, found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        rows = staged(placed, "placed")
+        opened = open_groups(rows, "key", TABLE_BLOCK)
+        near = staged(near_pairs(joined(in_blocks(rows, opened, "key", TABLE_BLOCK), classes.select("id", "n", "sig"), "id"), percent, whole).distinct(), "near")
+        discard(rows, opened)
+        if near.isEmpty():
+            discard(near)
+            break
         families = components(near)
         members = joined(families.withColumnRenamed("component", "family"), found, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component"))
         members = staged(joined(members, named, "id"), "members")
         more = staged(family_links(members, docs, width, percent, doc_id, text), "links")
         if not more.isEmpty():
-            whole = components(edges.unionByName(more))
+            joint = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
             discard(found)
-            found = whole
-        discard(families, members, more)
-    discard(near, edges)
+            found = joint
+        discard(near, families, members, more)
+    discard(shared)
     labelled = joined(classes.select("h1", "h2", "id", "first"), found, "id", "left").withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "id"))
     winners = labelled.where("linked").groupBy("component").agg(F.min("first").alias("least"))
     winner = joined(labelled, winners, "component", "left").select("h1", "h2", F.coalesce("least", "first").alias("winner"))
@@ -386,7 +392,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
     Equal sets are one class, found by a 128-bit hash of the set, so copies cost one row each. Classes that share a table are
     candidates. First each is held against the first class of the table. What then is in several components of one table and near
-    by signature makes families, and in a family all pairs across components are compared. All links are by full sets. No bucket,
-    group or partner is capped."""
+    by signature makes families, and in a family all pairs across components are compared: first with one near pair of a table for
+    each two components that it joins, then, of what stays apart, with all. All links are by full sets. No bucket, group or partner
+    is capped."""
     found = groups(docs, width, percent, doc_id, text).withColumn("component_id", F.col("winner.doc_id"))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

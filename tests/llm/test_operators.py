@@ -500,6 +500,20 @@ def test_links_between_copies_that_never_represent(make_docs, monkeypatch, block
     assert got.component_id.tolist() == want
 
 
+@pytest.mark.parametrize("blocks", [(4000, 800), (7, 5)])
+def test_links_beside_near_pairs_that_are_none(make_docs, monkeypatch, blocks):
+    """Groups of copies of about the threshold: of two components' near pairs the first often is no link, and another is."""
+    monkeypatch.setattr(neardup, "TABLE_BLOCK", blocks[0])
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", blocks[1])
+    texts = []
+    for g in range(6):
+        base, rng = words(180, 300 + g), random.Random(g)
+        texts += [" ".join(edited(base, rng.randint(4, 7), 1000 * g + k)) for k in range(40)]
+    got = neardup.near_duplicates(make_docs(*texts), 2).orderBy("doc_id").toPandas()
+    want, _ = brute_components(texts)
+    assert got.component_id.tolist() == want
+
+
 @pytest.mark.parametrize("one_task", [0, 1_000_000])
 def test_components_of_a_chain(spark, one_task):
     n = 300
