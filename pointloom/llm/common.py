@@ -36,12 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, and outlives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{name}"
-    writer = df.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.staged_at = path  # type: ignore[attr-defined]
     return made
@@ -130,7 +129,7 @@ def give_back() -> None:
         trim(0)
 
 
-def batches(it: Iterator[pa.RecordBatch], rows: int = 4096, column: str = "text", megabytes: int = 16) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], rows: int = 4096, column: str = "text", megabytes: float = 16) -> Iterator[pa.RecordBatch]:
     """The record batches cut so that none exceeds the given rows or, roughly, the bytes of the named column."""
     for batch in it:
         start, n = 0, batch.num_rows

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import as_bytes, batches, crc_mod, estimated_bytes, mix64, staged
+from pointloom.llm.common import as_bytes, batches, crc_mod, estimated_bytes, give_back, mix64, staged
 
 #: Bytes of context at most. A text is preceded by ORDER pads and ended by one; 0xFF never occurs in UTF-8.
 ORDER, PAD = 6, 0xFF
@@ -27,11 +27,17 @@ BLOCK_BYTES, STEP = 8 << 20, 128
 SHARD_BYTES, MANY_SHARDS, LARGE_SHARD_BYTES = 12 << 20, 20_000, 96 << 20
 #: Bytes of a long text that are turned into keys at once.
 PIECE = 1 << 20
-#: Grams of a block or shard that wait to be added up.
-WAITING = 2_000_000
+#: Grams of a block or shard that wait to be added up, at least; as many as half of those added up already.
+WAITING = 1_000_000
+#: Words and grams of blocks that a task holds when another block begins; beyond that the oldest are sent on.
+HELD = 1_000_000
+#: Bytes of short texts that are turned into keys together.
+TOGETHER = 1 << 18
 WORDS, GRAMS, STATS = 0, 1, 2
 
 PARTIAL = "kind int, shard int, blk string, keys binary, counts binary"
+#: V and N of words and the rows learned from have columns of their own, so that reading them reads no grams.
+MERGED = "kind int, blk string, keys binary, counts binary, distinct_words long, words long, trained long"
 
 
 def _mask(order: int) -> np.uint64:
@@ -97,7 +103,7 @@ def unpressed(data: bytes, kind: type) -> np.ndarray:
 
 
 class Sums:
-    """Distinct keys and the sums of their counts, folded whenever WAITING are held."""
+    """Distinct keys and the sums of their counts, folded whenever WAITING and half as many as there are folded wait."""
 
     def __init__(self):
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -106,14 +112,18 @@ class Sums:
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.held.append((keys, counts))
         self.waiting += len(keys)
-        if self.waiting > WAITING:
+        if self.waiting > max(WAITING, len(self.held[0][0]) // 2):
             self.fold()
 
     def fold(self) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = (np.concatenate(c) for c in zip((np.empty(0, np.uint64), np.empty(0, np.int64)), *self.held))
+        self.held = []  # what was held needn't be there beside what is sorted
         self.held, self.waiting = [summed(keys, counts)], 0
         return self.held[0]
 
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.held)
+
 
 def cells_of(keys: np.ndarray, counts: np.ndarray, top: int, bottom: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The cells of the orders from top to bottom, none left out, of keys of order top and their counts."""
@@ -147,6 +157,7 @@ class Table:
     def hold(self, values: np.ndarray) -> Table:
         """Puts each key's value beside it."""
         self.values = values[np.maximum(self.slots, 0)]
+        del self.slots  # value() goes without
         return self
 
     def value(self, keys: np.ndarray) -> np.ndarray:
@@ -317,7 +328,7 @@ def _count(shards: int):
             found, first = np.unique(shard[by], return_index=True)
             yield rows(GRAMS, blk, [(s, pressed(keys[by[a:b]]), pressed(counts[by[a:b]])) for s, a, b in zip(found.tolist(), first.tolist(), [*first.tolist()[1:], len(by)])])
 
-        for batch in batches(it, rows=1024, megabytes=2):
+        for batch in batches(it, rows=1024, megabytes=0.5):
             low = [t.lower() for t in batch.column("text").to_pylist()]
             train, blks = batch.column("train").to_pylist(), batch.column("blk").to_pylist()
             trained += sum(train)
@@ -326,7 +337,7 @@ def _count(shards: int):
             sizes = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
             of, learned = np.repeat([here[blk] for blk in blks], sizes), np.repeat(train, sizes)
             for blk, k in here.items():
-                if blk not in words and len(words) > 2:
+                while blk not in words and sum(len(words[b]) + len(grams[b]) for b in words) > HELD:
                     yield from send(next(iter(words)))
                 own, sums = words.setdefault(blk, Counter()), grams.setdefault(blk, Sums())
                 for b, learn, text in zip(blks, train, low, strict=True):
@@ -348,11 +359,13 @@ def _merge(low: Broadcast[Ppm]):
     lengths. The grams of a shard have an ending in common with all cells that their code length depends on but the low ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        give_back()  # what the shard before took
+        kind = table.column("kind")[0].as_py()
         blks, keys, counts = (table.column(c).to_pylist() for c in ("blk", "keys", "counts"))
-        one = lambda k, b, w, c: (k, shard, b, w, c)
+        one = lambda k, b, w, c: (k, b, w, c, None, None, None)
+        said = lambda *stats: (STATS, "", None, None, *map(int, stats))
         if kind == STATS:
-            out = [one(STATS, "", b"", sum(np.frombuffer(c, np.int64) for c in counts).tobytes())]
+            out = [said(0, 0, sum(np.frombuffer(c, np.int64)[2] for c in counts))]
         elif kind == GRAMS:
             sums = Sums()
             for k, c in zip(keys, counts, strict=True):
@@ -369,9 +382,9 @@ def _merge(low: Broadcast[Ppm]):
                     total[word] = total.get(word, 0) + n
             out = [one(WORDS, b, w, np.fromiter(map(total.__getitem__, w.split(b"\n")), np.int64).tobytes()) for b, w in zip(blks, keys, strict=True)]
             values = np.fromiter(total.values(), np.int64, len(total))
-            out.append(one(STATS, "", b"", np.array([(values > 0).sum(), values.sum(), 0], np.int64).tobytes()))
-        types = (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["kind", "shard", "blk", "keys", "counts"])
+            out.append(said((values > 0).sum(), values.sum(), 0))
+        types = (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], [x.split()[0] for x in MERGED.split(", ")])
 
     return run
 
@@ -396,11 +409,10 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
     low = Ppm(cells_of(grams.column("gram").to_numpy().astype(np.uint64), grams.column("n").to_numpy().astype(np.int64), LOW, 0))
     partial = rows.mapInArrow(_count(shards), PARTIAL)
     merge = _merge(docs.sparkSession.sparkContext.broadcast(low))
-    merged = staged(partial.groupBy("kind", "shard").applyInArrow(lambda table: merge(table), PARTIAL), "counts", "kind")
-    stats = np.zeros(3, np.int64)
-    for r in merged.where(F.col("kind") == STATS).select("counts").toLocalIterator():
-        stats += np.frombuffer(r["counts"], np.int64)
-    distinct, tokens, trained = stats.tolist()
+    # one file a task; folders by kind would sort all grams by kind as they are written, and make three
+    merged = staged(partial.groupBy("kind", "shard").applyInArrow(lambda table: merge(table), MERGED), "counts")
+    stats = merged.where(F.col("kind") == STATS).agg(*(F.sum(c) for c in ("distinct_words", "words", "trained"))).first()
+    distinct, tokens, trained = (x or 0 for x in stats)
     ends = trained  # the end is a token of its own kind, one a text
     distinct, tokens = distinct + (ends > 0), tokens + ends
     totals = merged.where(F.col("kind") != STATS).select("blk", F.col("kind").alias("tag"), F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("train"), F.col("keys").alias("text"), "counts")
@@ -437,7 +449,10 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
                     continue
                 if lengths is None:
                     keys, costs = (np.concatenate(c) for c in zip(*held))
-                    lengths, held = Table(unrolled(keys)).hold(costs), []
+                    held = []
+                    keys = unrolled(keys)
+                    lengths = Table(keys).hold(costs)
+                    del keys, costs
                 text = text.lower()
                 words = text.split()
                 c = np.fromiter(map(counts.__getitem__, words), np.int64, len(words))
@@ -458,10 +473,10 @@ def score(docs: DataFrame, held_out: int = 2, modulus: int = 7, shards: int | No
 
 
 def _cut(parts: list[tuple[int, tuple[bytes, bytes]]]) -> Iterator[list[tuple[int, tuple[bytes, bytes]]]]:
-    """Runs of pieces of about PIECE bytes together."""
+    """Runs of pieces of about TOGETHER bytes, or of one longer piece."""
     run, size = [], 0
     for part in parts:
-        if run and size + len(part[1][1]) > PIECE:
+        if run and size + len(part[1][1]) > TOGETHER:
             yield run
             run, size = [], 0
         run.append(part)

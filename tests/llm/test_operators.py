@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,39 @@ def test_blocks_are_of_bounded_bytes(spark, tmp_path, monkeypatch):
         assert all(r["n"] == 1 or r["size"] <= compression * lmscore.STEP * 20_000 for r in blocks)
 
 
+def test_each_task_writes_its_counts_to_one_file(make_docs, monkeypatch):
+    made = []
+    write = lmscore.staged
+    monkeypatch.setattr(lmscore, "staged", lambda *args: made.append(write(*args)) or made[-1])
+    got = lmscore.score(make_docs(*(f"some words and {k}" for k in range(40)))).collect()
+    files = [t.inputFiles() for t in made if t.staged_at.endswith("/counts")][0]
+    assert len(got) == 40 and len(files) == len({re.search(r"part-(\d+)", f)[1] for f in files})
+
+
+def test_a_task_sends_blocks_on_when_others_begin(monkeypatch):
+    """Runs of rows of three blocks, each beyond what may be held: a task holds one, and what it sends adds up to all words and grams."""
+    monkeypatch.setattr(lmscore, "HELD", 300, raising=False)
+    texts = [f"w{k} and w{k + 1}".encode() for k in range(200)]
+    got, sent_before = [], []
+
+    def source():
+        for k in range(0, 200, 40):
+            sent_before.append(sum(r["kind"] == lmscore.GRAMS for r in got))
+            yield pa.RecordBatch.from_pydict({"blk": [f"b{k // 40 % 3}"] * 40, "train": [True] * 40, "text": pa.array(texts[k : k + 40], pa.binary())})
+
+    for batch in lmscore._count(1)(source()):
+        got += batch.to_pylist()
+    assert sent_before == [0, 0, 1, 2, 3]
+    words, grams = Counter(), Counter()
+    for r in got:
+        if r["kind"] == lmscore.WORDS:
+            words.update(dict(zip(r["keys"].split(b"\n"), np.frombuffer(r["counts"], np.int64).tolist(), strict=True)))
+        elif r["kind"] == lmscore.GRAMS:
+            grams.update(dict(zip(lmscore.unpressed(r["keys"], np.uint64).tolist(), lmscore.unpressed(r["counts"], np.int64).tolist(), strict=True)))
+    assert words == Counter(w for t in texts for w in t.split())
+    assert grams == Counter(lmscore.rolled(lmscore.gram_keys([p for t in texts for p in lmscore.pieces(t)])[0]).tolist())
+
+
 def test_shards_fit_a_task():
     assert lmscore.shards_for(0) == 8
     for size in (10**9, 10**11, 10**12, 10**14):
