@@ -21,6 +21,8 @@ T = TypeVar("T")
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Entries a worker's word cache may hold before it is emptied.
 CACHE_ENTRIES = 200_000
+#: Spark's setting by which a query's shuffle files go when it ends.
+FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,11 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, and outlives a lost executor."""
+def staged(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: cuts lineage, and outlives a lost executor. With free, the shuffle
+    files of the write go when it ends; else they stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREES, None)
+    if free:
+        spark.conf.set(FREES, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREES, before) if before is not None else spark.conf.unset(FREES)
     made = spark.read.schema(df.schema).parquet(path)
     made.staged_at = path  # type: ignore[attr-defined]
     return made

@@ -62,7 +62,8 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     Hashes only choose: the texts of units whose hash occurs twice are fetched and compared. If the least and the greatest text
     of a hash are equal, all are; otherwise (hashes collide) its units are grouped by their texts. The first occurrence, by id,
     text hash and line, isn't among the result. All sums and least values are aggregated before they are shuffled, and joined
-    to by joins that adaptive execution can split, so a line that a third of all documents share is nobody's single task."""
+    to by joins that adaptive execution can split, so a line that a third of all documents share is nobody's single task. The texts
+    are shuffled here and once more when lines are taken out; the files of the first shuffle go before the second."""
     made = staged(units(docs, passage_words), "units")
     twice = made.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     wanted = made.join(twice, "hash").groupBy("key", "th").agg(F.collect_list(F.struct("hash", "kind", "start", "stop", "words", "lead")).alias("units"))
@@ -73,7 +74,7 @@ def repeats(docs: DataFrame, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     )
     place = F.struct("key", "th", "start")
     whole = spelled.groupBy("hash").agg(F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.count("*").alias("n"), F.min(place).alias("first"))
-    whole = staged(whole.select("hash", (F.col("lo") == F.col("hi")).alias("same"), "n", "first"), "compared")
+    whole = staged(whole.select("hash", (F.col("lo") == F.col("hi")).alias("same"), "n", "first"), "compared", free=True)
     occurs = made.join(whole.where("same and n > 1").select("hash", "first"), "hash").where(place != F.col("first"))
     names = ["key", "th", "kind", "start", "stop", "words", "lead"]
     mixed = whole.where("not same").select("hash")

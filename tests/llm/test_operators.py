@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -745,6 +746,22 @@ def test_same_hash_other_bytes(spark, make_docs, monkeypatch):
     assert got == {0: f"x\n{a}", 1: f"y\n{b}", 2: "z"}
 
 
+def test_compared_texts_leave_no_shuffle_files(spark, make_docs):
+    """The texts that were shuffled to be compared are gone before the result is made, without the driver's garbage collector."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    text = "\n".join(" ".join(words(30, k)) for k in range(3))
+    before, end = files(), time.monotonic() + 20
+    linededup.repeats(make_docs(text, text, f"x\n{text}"))
+    while (left := files() - before) and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not left
+
+
 # --- packing
 
 
