@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,7 +23,12 @@ SEPARATOR = b"\x00\x00\x00\x00"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 MARK_BYTES = MARKS.encode()
 #: Byte-level vocabularies write a byte as the character of that number if it is printable, and else as the next one from 256 on.
-BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LETTERS = "".join(chr(256 + _OTHERS.index(b) if b in _OTHERS else b) for b in range(256))
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkIds(dict):
@@ -32,7 +38,8 @@ class ChunkIds(dict):
     so a text's ids are those of its runs, end to end, and a run's are those of its parts. Strings of special tokens have no
     white space, so they too are found within a run."""
 
-    LIMIT = 500_000
+    #: Runs, and words in lower case, that are remembered before all are forgotten; those over 64 bytes never are.
+    RUNS, WORDS = 500_000, 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,36 +47,48 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # by themselves, as runs with capitals and marks fill the others sooner, and words take longer to make
+        self.words: dict[bytes, bytes] = {}
 
     def __missing__(self, chunk: bytes) -> bytes:
-        # words with a capital or a mark aren't remembered, as they would be most of what is; ASCII ones are quick to take apart
-        if chunk.isalpha() and (small := chunk.lower()) != chunk:
-            return self[small]
-        if chunk[-1:] in MARK_BYTES and chunk[:-1].isalpha():
-            return self[chunk[:-1].lower()] + self[chunk[-1:]]
-        word = chunk.decode("utf-8", "replace")
-        body = word.rstrip(MARKS)
-        if body and self.letters(body):
-            low = body.lower()
-            if low != word:
-                marks = chunk[len(body.encode()) :]
-                return self[low.encode()] + self[marks] if marks else self[low.encode()]
-            ids = [t.id for t in self.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = struct.pack(f"<{len(ids)}I", *ids)
+        value = self.made(chunk)
         if len(chunk) <= 64:
             self[chunk] = value
         return value
 
+    def made(self, chunk: bytes) -> bytes:
+        # runs of ASCII letters are quick to take apart
+        letters = chunk.rstrip(MARK_BYTES)
+        if letters.isalpha():
+            ids = self.word(letters.lower())
+            return ids + self[chunk[len(letters) :]] if len(letters) < len(chunk) else ids
+        word = chunk.decode("utf-8", "replace")
+        body = word.rstrip(MARKS)
+        low = body.lower()
+        if self.letters(body) and self.letters(low):
+            ids = self.word(low.encode())
+            return ids + self[chunk[len(body.encode()) :]] if len(body) < len(word) else ids
+        return packed_ids(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def word(self, chunk: bytes) -> bytes:
+        """The ids of Latin letters in lower case."""
+        value = self.words.get(chunk)
+        if value is None:
+            spelled, _ = codecs.charmap_decode(chunk, "strict", BYTE_LETTERS)
+            value = packed_ids([t.id for t in self.model.tokenize(spelled)])
+            if len(chunk) <= 64:
+                self.words[chunk] = value
+        return value
+
     @staticmethod
     def letters(word: str) -> bool:
-        """Whether the tokenizer sees letters alone: Latin ones that stay so in lower case, as not all do."""
-        return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
+        """Whether all are Latin letters, which the tokenizer keeps together."""
+        return word.isalpha() and max(word) < "\u0250"
 
     def text(self, data: bytes) -> bytes:
-        if len(self) > self.LIMIT:
-            self.clear()
+        for known, most in ((self, self.RUNS), (self.words, self.WORDS)):
+            if len(known) > most:
+                known.clear()
         return b"".join(map(self.__getitem__, data.split()))
 
 

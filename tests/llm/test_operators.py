@@ -802,6 +802,30 @@ def test_random_texts_equal_the_tokenizer():
         assert np.frombuffer(chunks.text(text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, (k, text)
 
 
+def test_runs_are_taken_apart_once():
+    """Runs with capitals and marks are remembered like others, and their words by themselves; both are emptied when full."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made = []
+
+    class Counting(packing.ChunkIds):
+        def __missing__(self, chunk):
+            made.append(chunk)
+            return super().__missing__(chunk)
+
+    t, chunks = Tokenizer.from_file(path), Counting(path)
+    text = "The the THE!! the, Ça ça. ÇA!? Ɓa ɓa, it's A. x" + "y" * 100
+    want = t.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(chunks.text(text.encode()), "<u4").tolist() == want
+    made.clear()
+    assert np.frombuffer(chunks.text(text.encode()), "<u4").tolist() == want
+    assert made == [text.split()[-1].encode()] and sorted(w.decode() for w in chunks.words) == ["a", "the", "ça"]
+    chunks.RUNS = chunks.WORDS = 2
+    assert np.frombuffer(chunks.text(b"own"), "<u4").tolist() == t.encode("own", add_special_tokens=False).ids
+    assert list(chunks) == list(chunks.words) == [b"own"]
+
+
 def test_sum_of_squares_takes_the_least_sum():
     rng = np.random.default_rng(0)
     lengths, capacity = rng.integers(1, 21, 300), 20
