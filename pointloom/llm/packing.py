@@ -39,7 +39,7 @@ class ChunkIds(dict):
     white space, so they too are found within a run."""
 
     #: Runs, and words in lower case, that are remembered before all are forgotten; those over 64 bytes never are.
-    RUNS, WORDS = 500_000, 1_000_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -86,8 +86,8 @@ class ChunkIds(dict):
         return word.isalpha() and max(word) < "\u0250"
 
     def text(self, data: bytes) -> bytes:
-        for known, most in ((self, self.RUNS), (self.words, self.WORDS)):
-            if len(known) > most:
+        for known in (self, self.words):
+            if len(known) > self.LIMIT:
                 known.clear()
         return b"".join(map(self.__getitem__, data.split()))
 

@@ -821,7 +821,7 @@ def test_runs_are_taken_apart_once():
     made.clear()
     assert np.frombuffer(chunks.text(text.encode()), "<u4").tolist() == want
     assert made == [text.split()[-1].encode()] and sorted(w.decode() for w in chunks.words) == ["a", "the", "ça"]
-    chunks.RUNS = chunks.WORDS = 2
+    chunks.LIMIT = 2
     assert np.frombuffer(chunks.text(b"own"), "<u4").tolist() == t.encode("own", add_special_tokens=False).ids
     assert list(chunks) == list(chunks.words) == [b"own"]
 
